@@ -118,7 +118,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
         )
     else:
         host, path = split_url(F.col(url))
-        known = labelled.select(host.alias("host"), path.alias("path"), F.lit(0).alias("n"), F.lit(1).alias("labelled"), F.col("blocked").cast("int").alias("blocked"))
+        known = labelled.select(host.alias("host"), path.alias("path"), F.lit(1).alias("n"), F.lit(1).alias("labelled"), F.col("blocked").cast("int").alias("blocked"))
         both = base.select("host", "path", F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("blocked")).unionByName(known)
         seen = both.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
     out = base.join(rejected(seen), ["host", "path"], "left")
