@@ -183,3 +183,21 @@ def test_documents(spark):
     assert row["ids"] == ["q"] and row["comments"] == 1 and row["inside"] == 3
     r = one(spark, d.parse_xml(F.lit("<a><b k='1'>t</b></a>")), d.parse_xml(F.lit("<a>")))
     assert [x["tag"] for x in r[0]] == ["a", "b", None] and r[1] is None
+
+
+def test_json_trees(spark):
+    from tideline.functions import json_trees as t
+
+    doc = F.lit('{"a":[{"b":1},{"b":null}],"c":{},"d":"x"}')
+    r = one(
+        spark,
+        t.select(doc, ["a", json_values.ANY, "b"]), t.of_kind(t.select(doc, [json_values.ANY]), "object"), t.from_leaves(t.leaves(doc)), t.search(doc, lambda p, v: v is None or v == "x"),
+        t.prune(doc, lambda p, v: p[-1] == "b"), t.retain(doc, lambda p, v: v == 1), t.project(doc, [["a", json_values.ANY, "b"], ["d"]]), t.transform_up(doc, lambda p, v: v + 1 if v == 1 else v),
+        t.transform_keys(doc, lambda p, k: k.upper()), F.size(t.entries(doc)), t.all_values(t.select(doc, ["a", json_values.ANY, "b"])), t.one(t.select(doc, ["d"])), t.transform_down(doc, lambda p, v: 0 if p == ("c",) else v),
+        t.check(doc, {"properties": {"a": {"items": {"properties": {"b": {"type": "integer"}}}}}}), t.conforms(doc, {"anyOf": [{"type": "string"}, {"minProperties": 3}]}), t.check(F.lit("{"), True),
+    )
+    load = json.loads
+    assert r[0] == ["1", "null"] and r[1] == ["{}"] and load(r[2]) == load('{"a":[{"b":1},{"b":null}],"c":{},"d":"x"}') and r[3] == ["null", '"x"']
+    assert load(r[4])["a"] == [{}, {}] and load(r[5]) == {"a": [{"b": 1}]} and load(r[6]) == {"a": [{"b": 1}, {"b": None}], "d": "x"} and load(r[7])["a"][0] == {"b": 2}
+    assert set(load(r[8])) == {"A", "C", "D"} and r[9] == 8 and r[10] == "[1,null]" and r[11] == '"x"' and load(r[12])["c"] == 0
+    assert r[13] == ".a[1].b: not integer" and r[14] is True and r[15] == ".: not JSON"

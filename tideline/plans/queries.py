@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import arrays, conversions, documents, expressions, json_values
+from tideline.functions import arrays, conversions, documents, expressions, json_trees, json_values
 from tideline.operators import aggregates, sequence
 from tideline.plans import migration, repository, validation
 from tideline.streaming import batches
@@ -445,3 +445,22 @@ def html_select(spark, sf):
         F.size(documents.select(nodes, documents.both(documents.tag("a"), documents.has_attribute("href")))).alias("links"),
         F.get(documents.attributes(documents.select(nodes, documents.tag("html")), "lang"), F.lit(0)).alias("lang"),
     )
+
+
+@query("SELECT event_id, '.k' AS path, 'number' AS kind, json_extract_string(props, '$.k') AS value FROM events")
+def json_leaves(spark, sf):
+    kv = F.explode(json_trees.leaves("props")).alias("e")
+    return read(spark, sf, "events").select("event_id", kv).select("event_id", "e.path", "e.kind", "e.value")
+
+
+@query("SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50 THEN '.k: maximum' END AS error FROM events")
+def json_schema_check(spark, sf):
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 49}}}
+    return read(spark, sf, "events").select("event_id", json_trees.check(F.col("props"), schema).alias("error"))
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') <> '13' GROUP BY event_type")
+def json_query(spark, sf):
+    e = read(spark, sf, "events").withColumn("s", json_trees.of_kind(json_trees.select(F.col("props"), ["k"]), "number"))
+    e = e.withColumn("k", json_trees.one(F.col("s")).cast("long")).filter("k <> 13")
+    return e.groupBy("event_type").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
