@@ -7,7 +7,7 @@ import pytest
 
 from tideline.plans.queries import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TIDELINE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
