@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tests.llm.fixtures import TEXTS, empty, odd_docs
 from tideline.llm import suffix_dedup
@@ -46,8 +47,9 @@ def test_odd_rows(spark):
     assert suffix_dedup.dedup(empty(odd_docs(spark, TEXTS))).count() == 0
 
 
-def test_split_groups(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+@pytest.mark.parametrize("hot", [1, 3])
+def test_split_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     check(spark, fixture())
 
 
@@ -57,10 +59,12 @@ def test_anchors_cover_every_window(monkeypatch):
         monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
         for text in (prose(rng, 3000), "abc" * 500, prose(rng, 200)):
             b = np.frombuffer(text.encode(), np.uint8)
-            p, h = suffix_dedup.anchors(b)
-            assert np.array_equal(h, suffix_dedup.gram_hashes(b)[p])
+            p, h, x0, x1 = suffix_dedup.anchors(b)
+            grams = suffix_dedup.gram_hashes(b)
+            assert np.array_equal(h, grams[p])
             for i in range(len(b) - 199):
-                assert ((p >= i) & (p < i + suffix_dedup.STARTS)).any()
+                own = (p >= i) & (p < i + suffix_dedup.STARTS) & (x0 <= i) & (i <= x1)
+                assert grams[i : i + suffix_dedup.STARTS].min() in h[own]
 
 
 def test_two_stage_order():
@@ -68,11 +72,11 @@ def test_two_stage_order():
     for letters in (1, 2, 3, 30):
         t = np.append(rng.integers(1, 1 + letters, 2000), 0).astype(np.uint8)
         raw = t.tobytes()
-        sa = suffix_dedup.two_stage(t)
+        sa = suffix_dedup.two_stage(t, 200)
         assert sorted(sa.tolist()) == list(range(len(t)))
         keys = [raw[i : i + 200] for i in sa.tolist()]
         assert keys == sorted(keys)
-        lcp = suffix_dedup.common_prefixes(t, sa)
+        lcp = suffix_dedup.common_prefixes(t, sa, 200)
         for j in range(1, len(sa), 37):
             a, b = raw[sa[j - 1] :][:200], raw[sa[j] :][:200]
             n = 0

@@ -9,9 +9,9 @@ Whether an arc survived is read off the gadgets backwards in time, and kept in t
 transition table, which thereby holds the arcs that texts use and not the 2.5 billion
 possible ones.
 
-To encode, pre-split words run through the automaton from left to right: at each byte the
-table gives the one token that ends there on the correct path. To decode, the labels of
-the arcs are emitted.
+To encode, pre-split words run through the automaton from left to right, by the table of
+transitions, longest arcs first; the one path to a word's end is its tokenization. To
+decode, the labels of the arcs are emitted.
 
 Defined cases: null text is empty; an empty text has no tokens; strings of added special
 tokens become those tokens, as in the tokenizers library; ids outside the vocabulary are
@@ -35,8 +35,8 @@ from tideline.llm.common import table, tune
 
 #: Fixed value: the public pattern that splits text before merging; white space as Unicode defines it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of the word cache and of the transition table before they are emptied.
-CACHED_WORDS, CACHED_ARCS = 150_000, 1_000_000
+#: Entries of each of two word caches, and of the transition table before it is emptied.
+CACHED_WORDS, CACHED_ARCS = 200_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -65,6 +65,7 @@ class Automaton:
             self.labels[i] = bytes(map(letter_byte.__getitem__, t))
         for t, i in added.items():
             self.labels[i] = t.encode()
+        self.longest = max(map(len, self.labels))
         self.added = added
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(SPLIT)
@@ -90,7 +91,9 @@ class Automaton:
                     self.token_at.append(-1)
             self.token_at[node] = i
         self.arcs: dict[int, bool] = {}
+        #: Words in use, and those of the time before, so that common ones stay.
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def add_gadget(self, a: int, b: int, c: int, when: int) -> None:
         """From `when` on no arc b leaves state a; state c leaves as b did; c is an arc wherever a is."""
@@ -115,46 +118,63 @@ class Automaton:
             else:  # a token after itself
                 state, token, before = self.second[state], self.first[token], s
 
+    def starting(self, word: bytes, at: int) -> list[int]:
+        """Tokens that start at a place of word, the longest last."""
+        nxt, token_at = self.next, self.token_at
+        node, out = 0, []
+        for byte in word[at : at + self.longest]:
+            node = nxt.get(node << 8 | byte)
+            if node is None:
+                break
+            if token_at[node] >= 0:
+                out.append(token_at[node])
+        return out
+
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        n = len(word)
-        last = [-1] * (n + 1)
-        nxt, token_at, arcs, size = self.next, self.token_at, self.arcs, self.size
-        for j in range(n):
-            state = last[j]
-            if j and state < 0:
-                continue
-            node, e = 0, j
-            while e < n:
-                node = nxt.get(node << 8 | word[e], 0)
-                if not node:
-                    break
-                e += 1
-                t = token_at[node]
-                if t >= 0 and last[e] < 0:
-                    if j:
-                        key = state * size + t
-                        ok = arcs.get(key)
-                        if ok is None:
-                            ok = arcs[key] = self.arc(state, t)
-                        if not ok:
-                            continue
-                    last[e] = t
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return tuple(reversed(out))
+        """The one path through the automaton that reads word: longest arcs first, back from dead ends.
+
+        A path to a place is the correct tokenization up to there, so a place has one state
+        and needs no second try once it is known to be dead.
+        """
+        n, size, labels, arcs = len(word), self.size, self.labels, self.arcs
+        path: list[int] = []
+        open_: list[list[int]] = []
+        dead: set[int] = set()
+        at, choices = 0, self.starting(word, 0)
+        while at < n:
+            while choices:
+                t = choices.pop()
+                end = at + len(labels[t])
+                if end in dead:
+                    continue
+                if path:
+                    key = path[-1] * size + t
+                    ok = arcs.get(key)
+                    if ok is None:
+                        ok = arcs[key] = self.arc(path[-1], t)
+                    if not ok:
+                        continue
+                path.append(t)
+                open_.append(choices)
+                at = end
+                choices = self.starting(word, at) if at < n else []
+                break
+            else:
+                dead.add(at)
+                at -= len(labels[path.pop()])
+                choices = open_.pop()
+        return tuple(path)
 
     def encode_plain(self, text: str) -> list[int]:
         """Ids of a text in which no added token is looked for."""
         words = self.split.findall(text)
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.older, self.words = self.words, {}
         if len(self.arcs) > CACHED_ARCS:
             self.arcs.clear()
+        known, older = self.words, self.older
         for w in set(words).difference(known):
-            known[w] = self.encode_word(w.encode())
+            known[w] = older.get(w) or self.encode_word(w.encode())
         return list(chain.from_iterable(map(known.__getitem__, words)))
 
     def encode(self, text: str | None) -> list[int]:

@@ -32,6 +32,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 4
 #: Children that a node may have before the rare ones become wildcards.
 FANOUT = 12
+#: Tasks that the children of one node are dealt over.
+SALTS = 16
 #: Share of its node's pages that keeps a child literal in a node with many children.
 KEEP_PERCENT = 5
 #: A branch is like its siblings if its share differs by at most so many standard errors.
@@ -76,7 +78,10 @@ def templates(paths: DataFrame) -> DataFrame:
         rare = (F.col("n_kids") > FANOUT) & (F.col("kid_n") * 100 < F.col("node_n") * KEEP_PERCENT)
         # a rare child keeps what its digits leave over if it has digits, else nothing
         label = F.when(~rare, F.col("seg")).when(shape != F.col("seg"), shape).otherwise("*")
-        named = kids.join(nodes, ["host", "prefix"]).select("host", "prefix", "seg", label.alias("label"))
+        # a node of very many children is dealt over SALTS tasks
+        spread = kids.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int"))
+        everywhere = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = spread.join(everywhere, ["host", "prefix", "salt"]).select("host", "prefix", "seg", label.alias("label"))
         now = (
             now.join(named, ["host", "prefix", "seg"], "left")
             .withColumn("prefix", F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.col("label"))))
