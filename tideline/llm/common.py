@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 #: Words in a shingle.
 SHINGLE = 5
-_CACHED_WORDS = 400_000
-_word_hashes: dict[bytes, int] = {}
+#: Bytes of a word that are hashed from the table.
+SHORT = 64
+_RANDOM = np.random.default_rng(1).integers(0, 1 << 64, SHORT << 8, np.uint64)
+_IN_WORD = np.array([chr(i) not in WORD_BREAKS for i in range(256)], np.int8)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,16 +63,6 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def word_ids(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of every word; a bounded cache spares hashing the common ones again."""
-    got = _word_hashes
-    if len(got) > _CACHED_WORDS:
-        got.clear()
-    for w in set(words).difference(got):
-        got[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(got.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection on 64 bits that scatters its input."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -78,17 +70,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """A hash of each run of k words in order; fewer than k words give one shorter run, none give none."""
-    if not words:
+def word_ids(text: str) -> np.ndarray:
+    """A 64-bit hash of every word: the sum of a random number for each byte and its place in the word.
+
+    Words are as in split_words; those of more than SHORT bytes are hashed one by one.
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    b = np.frombuffer(raw, np.uint8)
+    inner = np.zeros(len(b) + 2, np.int8)
+    inner[1:-1] = _IN_WORD[b]
+    step = np.diff(inner)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    length = end - start
+    if not len(start):
         return np.zeros(0, np.uint64)
-    w = word_ids(words)
+    # the letters of the words, one word after the other, and their places
+    letters = b[inner[1:-1].view(bool)]
+    begins = np.cumsum(length) - length
+    place = np.arange(len(letters)) - np.repeat(begins, length)
+    long = length > SHORT
+    if long.any():
+        np.minimum(place, SHORT - 1, out=place)
+    out = np.add.reduceat(_RANDOM[place << 8 | letters], begins)
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
+    return out
+
+
+def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """A hash of each run of k words in order; fewer than k words give one shorter run, none give none."""
+    w = word_ids(text) if text else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
     k = min(k, len(w))
     n = len(w) - k + 1
+    # words are random numbers already: a sum with odd factors, mixed at the end, tells orders apart
     out = np.full(n, np.uint64(k), np.uint64)
     for j in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n])
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n]
+    return mix(out)
 
 
 def occurrence_labels(h: np.ndarray) -> np.ndarray:

@@ -28,38 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import shingles, split_words, table, tune
+from tideline.llm.common import shingles, table, tune
 
 FUNCTIONS = 64
 #: Containment in hundredths.
 LEAST = 80
-#: Bytes of item texts in a block, and shingles of a document hashed at once.
-BLOCK_BYTES, CHUNK = 8_000_000, 1 << 13
+#: Bytes of item texts in a block, and runs of shingles that are hashed at once.
+BLOCK_BYTES, CHUNK = 8_000_000, 1 << 10
 _rng = np.random.default_rng(8)
-_MUL = _rng.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _rng.integers(0, 1 << 63, FUNCTIONS, np.uint64)
-_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SLOTS = np.uint64((1 << 20) - 1)
+_MUL = _rng.integers(0, 1 << 31, FUNCTIONS, np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, FUNCTIONS, np.uint32)
+_SLOTS = np.uint32((1 << 18) - 1)
 
 
 def minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Per function (rows), the minimum over each run of `width` shingles; width divides CHUNK."""
-    parts = []
-    for at in range(0, len(h), CHUNK):
-        x = h[at : at + CHUNK]
-        short = -len(x) % width
-        v = (x[None, :] ^ _XOR[:, None]) * _MUL[:, None]
-        if short:
-            v = np.pad(v, ((0, 0), (0, short)), constant_values=_LAST)
-        parts.append(v.reshape(FUNCTIONS, -1, width).min(axis=2))
-    return np.concatenate(parts, axis=1) if parts else np.zeros((FUNCTIONS, 0), np.uint64)
+    """Per function (rows), the minimum over each run of `width` shingles; 32 bits of them are ranked."""
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    n = -(-len(x) // width)
+    # a run that isn't full repeats its last shingle
+    full = np.full(n * width, x[-1] if n else 0, np.uint32)
+    full[: len(x)] = x
+    x = full.reshape(n, width).T
+    out = np.empty((FUNCTIONS, n), np.uint32)
+    for at in range(0, n, CHUNK):
+        least = None
+        for row in x[:, at : at + CHUNK]:
+            v = row[None, :] ^ _XOR[:, None]
+            v *= _MUL[:, None]
+            least = v if least is None else np.minimum(least, v, out=least)
+        out[:, at : at + CHUNK] = least
+    return out
 
 
 def halved(m: np.ndarray) -> np.ndarray:
     """Minima over runs twice as long."""
-    if m.shape[1] % 2:
-        m = np.pad(m, ((0, 0), (0, 1)), constant_values=_LAST)
-    return np.minimum(m[:, ::2], m[:, 1::2])
+    out, pairs = m[:, ::2].copy(), m.shape[1] // 2
+    np.minimum(out[:, :pairs], m[:, 1::2], out=out[:, :pairs])
+    return out
 
 
 class Block:
@@ -70,20 +75,24 @@ class Block:
         self.sets: list[np.ndarray] = []
         by: dict[int, list[int]] = {}
         for item, text in items:
-            s = np.unique(shingles(split_words(text)))
+            s = np.unique(shingles(text))
             if len(s):
                 by.setdefault(1 << math.ceil(math.log2(len(s))), []).append(len(self.ids))
                 self.ids.append(item)
                 self.sets.append(s)
-        #: By class: a bitmap of low bits; by function, sorted values and whose they are.
-        self.classes: dict[int, tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = {}
+        #: By class: a bitmap of low bits; all values, each under its function's number, sorted; and whose they are.
+        self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for width, members in by.items():
             sig = np.stack([minima(self.sets[i], 1).min(axis=1) for i in members], axis=1)
-            order = np.argsort(sig, axis=1)
-            values = np.take_along_axis(sig, order, axis=1)
             seen = np.zeros(int(_SLOTS) + 1, bool)
             seen[(sig & _SLOTS).ravel()] = True
-            self.classes[width] = seen, list(values), list(np.array(members)[order])
+            values = self.numbered(np.arange(FUNCTIONS)[:, None], sig).ravel()
+            order = np.argsort(values)
+            self.classes[width] = seen, values[order], np.tile(members, FUNCTIONS)[order]
+
+    @staticmethod
+    def numbered(f: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return f.astype(np.uint64) << np.uint64(32) | v
 
     def candidates(self, h: np.ndarray) -> set[int]:
         found: set[int] = set()
@@ -95,19 +104,18 @@ class Block:
             if width in self.classes:
                 seen, values, whose = self.classes[width]
                 w = np.minimum(m[:, :-1], m[:, 1:]) if m.shape[1] > 1 else m
-                fs, at = np.nonzero(seen[w & _SLOTS])
-                for f in np.unique(fs):
-                    v = w[f, at[fs == f]]
-                    a, b = np.searchsorted(values[f], v, "left"), np.searchsorted(values[f], v, "right")
-                    for x, y in {*zip(a.tolist(), b.tolist())}:
-                        found.update(whose[f][x:y].tolist())
+                fs, at = np.nonzero(seen.take(w & _SLOTS))
+                v = np.unique(self.numbered(fs, w[fs, at]))
+                a, b = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
+                for k in np.flatnonzero(b > a).tolist():
+                    found.update(whose[a[k] : b[k]].tolist())
             if width >= top:
                 return found
             m, width = halved(m), width * 2
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, shared shingles, its shingles) for each item contained in text."""
-        h = shingles(split_words(text))
+        h = shingles(text)
         out = []
         found = self.candidates(h)
         if found:
