@@ -85,6 +85,32 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+def templated(seed=60, n=400, pairs=40, k=600, own=78, changed=45):
+    """Texts of a template with an own end; pairs share most of their ends. Returns texts and the pairs' places."""
+    rng = random.Random(seed)
+    template = words(rng, k - own + 4)
+    docs = [template + words(rng, own) for _ in range(n)]
+    for i in range(pairs):
+        docs.append(docs[i][: len(template) + own - changed] + words(rng, changed))
+    return [" ".join(w) for w in docs], [(i, n + i) for i in range(pairs)]
+
+
+def test_near_duplicates_on_a_template(spark):
+    texts, pairs = templated()
+    assert all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in pairs)
+    # texts of the template alone aren't alike
+    assert jaccard(texts[100], texts[200]) < 0.8 and jaccard(texts[0], texts[401]) < 0.8
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(odd_docs(spark, texts)).collect()}
+    assert got == {i: i for i in range(len(texts))} | {j: i for i, j in pairs}
+
+
+def test_blocks_of_an_open_bucket(spark, monkeypatch):
+    texts, pairs = templated(n=60, pairs=8)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(odd_docs(spark, texts)).collect()}
+    assert got == {i: i for i in range(len(texts))} | {j: i for i, j in pairs}
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = odd_docs(spark, [*TEXTS, "a b", "a  b", "a b c"])
     rows = near_dup.classes(docs).collect()

@@ -6,16 +6,20 @@ text order, are one value of the sketch. Texts that agree in one of the FUNCTION
 share a bucket. At a similarity of 0.8 one value of three k-mers agrees with a probability
 of about a half, so that 16 miss one pair in 50,000.
 
-Equal texts are one node. A bucket's members are linked to its first and last member, not
-to each other; so candidates number at most twice the sketch values. A candidate is
-verified by aligning the two k-mer sequences: as k-mers are distinct, the best alignment
-is the longest increasing run of matched places, within the band of diagonals that a
-similarity of 0.8 can reach. Similarity is aligned k-mers over all k-mers of both texts.
-
-Verification runs in two rounds: every text against the bucket mate with which it shares
-most values, then all candidates that join two different components. Texts are sent to the
-groups of their hubs, hubs of many are dealt into parts of PART candidates, and tasks
-stream over them. Components come from alternating large-star and small-star steps.
+Equal texts are one node. Every pair of a bucket is a candidate. It is verified by aligning
+the two k-mer sequences: as k-mers are distinct, the best alignment is the longest
+increasing run of matched places, within the band of diagonals that a similarity of 0.8
+can reach. Similarity is aligned k-mers over all k-mers of both texts.
+
+Verification runs in three rounds. Two link a bucket's members to its first and last
+member: every text against the one of these mates with which it shares most values, then
+all such pairs that join two different components. Texts are sent to the groups of their
+hubs, hubs of many are dealt into parts of PART candidates, and tasks stream over them.
+The third searches all pairs of each bucket that still has members of different
+components, as buckets of texts on one template do. Its members are grouped by length, as
+like texts differ by a quarter at most, dealt into blocks, and every two blocks of a group
+meet in a task; so rows sent grow with the square of such a group over BLOCK. Components
+come from alternating large-star and small-star steps.
 
 Defined cases: null text is empty; empty texts are equal, hence one class; texts of fewer
 than five words have one shorter k-mer, so only texts of the same words are like them;
@@ -41,6 +45,10 @@ FUNCTIONS, LENGTH = 16, 3
 LEAST = 80
 #: Candidates of one hub that a task verifies together.
 PART = 64
+#: Members of an open bucket, and their k-mers, that make a block.
+BLOCK, BLOCK_KMERS = 128, 1 << 20
+#: Columns of k-mers that are counted at once.
+COLUMNS = 1 << 14
 #: K-mers that are ranked at once, times FUNCTIONS.
 CHUNK = 1 << 14
 _SEEDS = np.random.default_rng(6).integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +112,11 @@ def sketch_udf(texts: pa.Array) -> pa.Array:
     return pa.array([sketch(kmers(t.as_py())) for t in texts], pa.list_(pa.int64()))
 
 
+@F.arrow_udf(T.BinaryType())
+def kmers_udf(texts: pa.Array) -> pa.Array:
+    return pa.array([kmers(t.as_py()).tobytes() for t in texts], pa.binary())
+
+
 def node(text: Column) -> Column:
     """The node of a text: 128 bits of hash, so that equal texts are one."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
@@ -139,6 +152,106 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return stage(dealt.mapInArrow(_verify, "a binary, b binary").distinct(), "verified")
 
 
+def common_counts(ks: list[np.ndarray]) -> np.ndarray:
+    """Common k-mers of every two sequences."""
+    n = len(ks)
+    _, column, seen = np.unique(np.concatenate(ks), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(k) for k in ks])
+    # k-mers of one sequence alone are in no pair
+    twice = seen > 1
+    there = twice[column]
+    column, row = (np.cumsum(twice) - 1)[column[there]], row[there]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((n, n), np.int64)
+    for at in range(0, int(twice.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def linked(v: int, within: bool, blocks: list[int], upper: list[bool], parts: list[bytes], ks: list[np.ndarray], sketches: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """Pairs of a group that join its components: of one block if within, else of its two."""
+    names = {c: i for i, c in enumerate(dict.fromkeys(parts))}
+    part, up, block = np.array([names[c] for c in parts]), np.array(upper, bool), np.array(blocks)
+    s, size = np.array(sketches, np.int64), np.array([len(k) for k in ks])
+    i, j = np.triu_indices(len(ks), 1)
+    ask = (part[i] != part[j]) & ~(up[i] & up[j])
+    if not within:
+        ask &= block[i] != block[j]
+    i, j = i[ask], j[ask]
+    # a pair of several buckets is asked for in the first of its values only
+    same = s[i] == s[j]
+    ask = s[i, np.argmax(same, axis=1)] == v
+    i, j = i[ask], j[ask]
+    if len(i) > 8:
+        ask = common_counts(ks)[i, j] * 18 * 100 >= (size[i] + size[j]) * 10 * LEAST
+        i, j = i[ask], j[ask]
+    root = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = top(part[a]), top(part[b])
+        if x != y and alike(ks[a], ks[b]):
+            root[x] = y
+            yield a, b
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (v, size class, two blocks, own block, upper, component, node, k-mers, sketch)."""
+    here, rows = None, []
+
+    def found(out: list[tuple[bytes, bytes]]) -> None:
+        if len(rows) > 1:
+            block, upper, part, names, ks, sketches = zip(*rows)
+            pairs = linked(here[0], here[2] == here[3], block, upper, part, [np.frombuffer(k, np.uint64) for k in ks], sketches)
+            out += [(names[a], names[b]) for a, b in pairs]
+
+    def batch(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    for b in batches:
+        out: list[tuple[bytes, bytes]] = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:4] != here:
+                found(out)
+                here, rows = row[:4], []
+            rows.append(row[4:])
+        yield batch(out)
+    out = []
+    found(out)
+    yield batch(out)
+
+
+def searched(members: DataFrame, own: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Alike pairs (a, b) of different components c among members (v, node, c) of the same v."""
+    mixed = members.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
+    rows = stage(members.join(mixed, "v"), "open")
+    wanted = rows.select("node").distinct().join(nodes, "node")
+    texts = docs.select(F.col("doc_id").alias("home"), node(F.col("text")).alias("node"), "text")
+    sent = texts.join(wanted.hint("shuffle_hash"), ["home", "node"]).select("node", kmers_udf("text").alias("k")).dropDuplicates(["node"])
+    known = own.select("node", "sketch").dropDuplicates(["node"])
+    known = stage(sent.join(known, "node").withColumn("size", F.expr("octet_length(k) div 8")), "kmers")
+    # like texts are in the same size class or in two neighbours
+    cls = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.26))).cast("int")
+    rows = rows.join(known.select("node", "size"), "node").withColumn("up", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cls", cls - F.col("up").cast("int"))
+    groups = rows.groupBy("v", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("up").alias("none"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    groups = groups.filter("not none and lo < hi").select("v", "cls", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_KMERS)).cast("int").alias("blocks"))
+    dealt = rows.drop("size").join(groups, ["v", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("v", "cls", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "up", "c", "node")
+    key = ["v", "cls", "x", "y"]
+    dealt = dealt.join(known, "node").select(*key, "block", "up", "c", "node", "k", "sketch").repartition(*key).sortWithinPartitions(*key)
+    return stage(dealt.mapInArrow(_search, "a binary, b binary").distinct(), "searched")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each connected component, for all nodes with an edge."""
 
@@ -174,8 +287,8 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = stage(slim.groupBy("node").agg(F.min("doc_id").alias("home")), "nodes")
     own = slim.join(nodes.withColumnRenamed("home", "doc_id"), ["node", "doc_id"], "left_semi")
     values = stage(own.select("node", F.explode("sketch").alias("v")).distinct(), "values")
-    ends = stage(values.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(F.col("lo") < F.col("hi")), "buckets")
-    met = values.join(ends, "v")
+    ends = stage(values.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter(F.col("lo") < F.col("hi")), "buckets")
+    met = values.join(ends.drop("n"), "v")
     pairs = met.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter(F.col("a") != F.col("b"))
     pairs = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("w")), "pairs")
     best = pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -187,7 +300,13 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = stage(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
     second = verified(rest, nodes, docs)
-    final = stage(components(first.unionByName(second)), "components")
+    final = stage(components(first.unionByName(second)), "second")
+    # up to three members have all met by now
+    many = values.join(ends.filter("n > 3").select("v"), "v").join(final, "node", "left")
+    many = stage(many.select("v", "node", F.coalesce("component", "node").alias("c")), "members")
+    third = searched(many, own, nodes, docs)
+    if not third.isEmpty():
+        final = stage(components(third.unionByName(final.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
     label = nodes.join(final, "node", "left").select("node", "home", F.coalesce("component", "node").alias("component"))
     least = stage(label.groupBy("component").agg(F.min("home").alias("class_id")), "classes")
     label = stage(label.join(least, "component").select("node", "class_id"), "labels")
