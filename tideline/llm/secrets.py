@@ -1,10 +1,10 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests on long tokens.
 
-A token of TOKEN_CHARS with letters and digits is taken for a string over the smallest
-encoding that fits: hex, base32, base36, base62 or base64. Three tests ask if it is a
-random string over that alphabet: chi-squared for uniform letters (over as many bins as
-its length allows), runs above and below the middle, and serial correlation. Fisher's
-method combines them into one p-value. Longer tokens give the tests more power, so false
+A long token with letters is taken for a string over the smallest encoding that fits: hex,
+base32, base36, base62 or base64. An equals sign ends a token; those at its very end are
+its padding. Four tests ask if it is a random string over that alphabet: chi-squared for
+uniform letters (over as many bins as its length allows), runs above and below the middle,
+serial correlation, and too few digits for its length. Fisher's method combines them into one p-value. Longer tokens give the tests more power, so false
 discoveries are controlled within classes of length, each doubling one class: over all
 tokens of the corpus in a class, the Benjamini-Hochberg step-up decides which are
 discovered to be structured. The others are indistinguishable from keys and are reported
@@ -40,7 +40,9 @@ ASSIGN_WORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
 #: Tokens for the battery.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: Characters of a token, with its padding.
+LEAST_TOKEN = 20
 DIGITS, LOWER, CAPS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Alphabets from the smallest to the largest.
 ENCODINGS = {
@@ -54,8 +56,8 @@ ENCODINGS = {
     "base64url": CAPS + LOWER + DIGITS + "-_",
 }
 _INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in ENCODINGS.items()}
-#: Digits that a token needs, as a share of its length.
-DIGIT_SHARE = 0.1
+#: A token with so few digits that a random one of its length and encoding has no more of them with this chance isn't a candidate.
+DIGIT_CHANCE = 1e-6
 #: False discovery rate, and the steps of -log10 p (20 to a power of ten).
 RATE, PSTEP, PBINS = 0.05, 20, 400
 
@@ -109,19 +111,28 @@ def serial(u: list[int]) -> float:
     return 2 * normal_tail(abs(r + 1 / n) * math.sqrt(n))
 
 
+def few_digits(digits: int, n: int, share: float) -> float:
+    """Chance that a random string of n letters has no more than so many digits."""
+    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)) for k in range(digits + 1)))
+
+
 def p_random(token: str) -> float | None:
     """Fisher's combined p-value that token is random over its encoding; None if it isn't a candidate."""
     body = token.rstrip("=")
-    if not any(c.isalpha() for c in body) or sum(c in DIGITS for c in body) < max(2, DIGIT_SHARE * len(body)):
+    if not any(c.isalpha() for c in body):
         return None
     name = next((n for n, index in _INDEX.items() if all(c in index for c in body)), None)
     if name is None:
         return None
     if name.startswith("base6") and not (any(c in CAPS for c in body) and any(c in LOWER for c in body)):
         return None
+    size = len(ENCODINGS[name])
+    few = few_digits(sum(c in DIGITS for c in body), len(body), sum(c in DIGITS for c in ENCODINGS[name]) / size)
+    if few < DIGIT_CHANCE:
+        return None
     u = [_INDEX[name][c] for c in body]
-    y = -sum(math.log(max(p, 1e-300)) for p in (uniformity(u, len(ENCODINGS[name])), runs(u, len(ENCODINGS[name])), serial(u)))
-    return min(1.0, math.exp(-y) * (1 + y + y * y / 2))
+    y = -sum(math.log(max(p, 1e-300)) for p in (uniformity(u, size), runs(u, size), serial(u), few))
+    return min(1.0, math.exp(-y) * (1 + y + y * y / 2 + y**3 / 6))
 
 
 def find(text: str | None) -> list[tuple[int, int, int, int, int]]:
@@ -137,7 +148,7 @@ def find(text: str | None) -> list[tuple[int, int, int, int, int]]:
     out += [(m.start(), 2, m.end(), 0, 0) for m in HEX.finditer(text)]
     base = list(out)
     for m in TOKEN.finditer(text):
-        p = p_random(m[0])
+        p = p_random(m[0]) if len(m[0]) >= LEAST_TOKEN else None
         if p is not None and not any(s <= m.start() and m.end() <= e for s, _, e, _, _ in base):
             out.append((m.start(), 3, m.end(), len(m[0]).bit_length(), min(PBINS, int(-math.log10(max(p, 1e-300)) * PSTEP))))
     return sorted(out)
