@@ -122,6 +122,16 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dup.classes(empty(docs)).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    base = near_fixture()[0]
+    texts = [(None, "a unique text of a null id here"), (None, base), (7, base + " end"), (8, "one text of a repeated id"), (8, "quite another text under that id"), (None, "pair of null ids in two rows"), (None, "pair of null ids in two rows")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, n long")
+    got = [tuple(r) for r in near_dup.classes(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None)] * 3 + [(7, 7), (None, 7), (8, 8), (8, 8)], key=str)
+    kept = {tuple(r) for r in near_dup.keep_one(docs).select("doc_id", "text").collect()}
+    assert kept == {texts[0], texts[2], texts[3], texts[4], texts[5]} and near_dup.keep_one(docs).count() == 5
+
+
 def test_leaks_against_all_pairs(spark):
     rng = random.Random(8)
     items = [" ".join(words(rng, n)) for n in (3, 5, 9, 14, 20, 33, 60, 130)] + [None, "", "a b"]

@@ -23,8 +23,11 @@ come from alternating large-star and small-star steps.
 
 Defined cases: null text is empty; empty texts are equal, hence one class; texts of fewer
 than five words have one shorter k-mer, so only texts of the same words are like them;
-repeated rows each get a row; an empty table gives no rows. `keep_one` carries all columns
-along and keeps one row of each class; `_tl_` names are reserved.
+repeated rows each get a row; an empty table gives no rows. Null ids come after all others:
+the id of a class is null only if all its rows' ids are. Ids may be repeated: classes go by
+text, so that two texts of one id are told apart and may give two classes of that id.
+`keep_one` carries all columns along and keeps one row of each class; `_tl_` names are
+reserved.
 """
 
 from __future__ import annotations
@@ -147,7 +150,9 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     routes = to_hub.unionByName(hubs).join(nodes, "node")
     texts = docs.select(F.col("doc_id").alias("home"), node(F.col("text")).alias("node"), "text")
     # texts are only streamed against the routes, not sorted
-    sent = texts.join(routes.hint("shuffle_hash"), ["home", "node"]).select("hub", "part", "role", "node", "text")
+    routes = routes.withColumnsRenamed({"node": "_tl_node", "home": "_tl_home"})
+    same = (F.col("node") == F.col("_tl_node")) & F.col("home").eqNullSafe(F.col("_tl_home"))
+    sent = texts.join(routes.hint("shuffle_hash"), same).select("hub", "part", "role", "node", "text")
     dealt = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
     return stage(dealt.mapInArrow(_verify, "a binary, b binary").distinct(), "verified")
 
@@ -234,9 +239,10 @@ def searched(members: DataFrame, own: DataFrame, nodes: DataFrame, docs: DataFra
     """Alike pairs (a, b) of different components c among members (v, node, c) of the same v."""
     mixed = members.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
     rows = stage(members.join(mixed, "v"), "open")
-    wanted = rows.select("node").distinct().join(nodes, "node")
+    wanted = rows.select("node").distinct().join(nodes, "node").withColumnsRenamed({"node": "_tl_node", "home": "_tl_home"})
+    same = (F.col("node") == F.col("_tl_node")) & F.col("home").eqNullSafe(F.col("_tl_home"))
     texts = docs.select(F.col("doc_id").alias("home"), node(F.col("text")).alias("node"), "text")
-    sent = texts.join(wanted.hint("shuffle_hash"), ["home", "node"]).select("node", kmers_udf("text").alias("k")).dropDuplicates(["node"])
+    sent = texts.join(wanted.hint("shuffle_hash"), same).select("node", kmers_udf("text").alias("k")).dropDuplicates(["node"])
     known = own.select("node", "sketch").dropDuplicates(["node"])
     known = stage(sent.join(known, "node").withColumn("size", F.expr("octet_length(k) div 8")), "kmers")
     # like texts are in the same size class or in two neighbours
@@ -279,13 +285,14 @@ def components(edges: DataFrame) -> DataFrame:
     return whole.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) for every row of docs: the least doc_id of its class."""
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) for every row of docs, and (node, home, component) for every node."""
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     slim = stage(docs.select("doc_id", node(F.col("text")).alias("node"), sketch_udf(F.col("text")).alias("sketch")), "sketches")
     nodes = stage(slim.groupBy("node").agg(F.min("doc_id").alias("home")), "nodes")
-    own = slim.join(nodes.withColumnRenamed("home", "doc_id"), ["node", "doc_id"], "left_semi")
+    homes = nodes.withColumnRenamed("node", "_tl_node")
+    own = slim.join(homes, (F.col("node") == F.col("_tl_node")) & F.col("doc_id").eqNullSafe(F.col("home")), "left_semi")
     values = stage(own.select("node", F.explode("sketch").alias("v")).distinct(), "values")
     ends = stage(values.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter(F.col("lo") < F.col("hi")), "buckets")
     met = values.join(ends.drop("n"), "v")
@@ -308,19 +315,39 @@ def classes(docs: DataFrame) -> DataFrame:
     if not third.isEmpty():
         final = stage(components(third.unionByName(final.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
     label = nodes.join(final, "node", "left").select("node", "home", F.coalesce("component", "node").alias("component"))
+    return slim.select("doc_id", "node"), stage(label, "labels")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) for every row of docs: the least doc_id of its class."""
+    rows, label = labelled(docs)
     least = stage(label.groupBy("component").agg(F.min("home").alias("class_id")), "classes")
-    label = stage(label.join(least, "component").select("node", "class_id"), "labels")
-    return slim.select("doc_id", "node").join(label, "node").select("doc_id", "class_id")
+    label = stage(label.join(least, "component").select("node", "class_id"), "class_labels")
+    return rows.join(label, "node").select("doc_id", "class_id")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's columns; maps and variants go through their JSON."""
+    plain = lambda f: not any(t in f.dataType.simpleString() for t in ("map<", "variant"))
+    return F.xxhash64(*(F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(f"`{f.name}`")) for f in docs.schema))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, its least doc_id, with all columns of docs.
+    """One document of each class, of its least doc_id (null after all others), with all columns of docs.
 
-    Repeated rows of that document count as one: the first by hash of the row stays.
+    Of several texts of that doc_id the least by hash stays, and of several rows of that
+    text the first by hash of the row.
     """
-    chosen = stage(classes(docs).filter(F.col("doc_id") == F.col("class_id")).select("class_id").distinct(), "chosen")
-    kept = docs.join(chosen.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    label = labelled(docs)[1]
+    # nulls are the greatest in the first field
+    order = F.struct(F.col("home").isNull().alias("none"), "home", "node")
+    first = label.groupBy("component").agg(F.min(order).alias("x")).select("x.home", F.col("x.node").alias("_tl_node"))
+    first = stage(first, "first_nodes")
+    rows = docs.withColumn("_tl_node", node(F.col("text"))).withColumn("_tl_row", row_hash(docs))
+    own = rows.select("doc_id", "_tl_node", "_tl_row").join(first.withColumnRenamed("_tl_node", "_tl_first"), (F.col("_tl_node") == F.col("_tl_first")) & F.col("doc_id").eqNullSafe(F.col("home")))
+    chosen = stage(own.groupBy("_tl_node").agg(F.min("_tl_row").alias("_tl_row")), "chosen")
+    kept = rows.join(chosen, ["_tl_node", "_tl_row"], "left_semi")
+    return kept.dropDuplicates(["_tl_node", "_tl_row"]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
