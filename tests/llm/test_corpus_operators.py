@@ -181,3 +181,27 @@ def test_urls(spark):
     learnt = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, labelled=known).collect()}
     assert learnt[11] == "block" and learnt[12] == "allow"
     assert url_filters.judge(empty(pages)).count() == 0
+
+
+def test_url_tree_decides_unruled_urls(spark):
+    # /es/ is blocked on example.org wherever it is labelled, /en/ hardly ever; no rule fits these hosts
+    ruled = [f"http://a.example.org/es/{i}" for i in range(40)] + [f"http://a.example.org/en/{i}" for i in range(200, 300)]
+    asked = [f"http://x.net/es/{i}" for i in range(500, 520)] + [f"http://x.net/en/{i}" for i in range(500, 520)]
+    pages = spark.createDataFrame(list(enumerate(ruled + asked)), "id long, url string")
+    got = {r["id"]: r["verdict"] for r in url_filters.judge(pages, key="id").collect()}
+    assert all(got[140 + i] == "block" for i in range(20)) and all(got[160 + i] == "allow" for i in range(20))
+
+
+def test_url_tree_at_any_depth(spark):
+    deep = "/".join("abcde")
+    labelled = [(f"http://h.net/{deep}/spam/{i}/x", True) for i in range(40)] + [(f"http://h.net/{deep}/good/{i}/x", False) for i in range(40)]
+    # a branch of few labels takes the counts of those like it
+    labelled += [(f"http://h.net/{deep}/spam/{i}/y", True) for i in range(2)]
+    known = spark.createDataFrame(labelled, "url string, blocked boolean")
+    urls = [f"http://h.net/{deep}/spam/77/x", f"http://h.net/{deep}/good/77/x", f"http://h.net/{deep}/spam/99/y", "http://h.net/" + "s/" * 3000]
+    pages = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string")
+    rows = url_filters.judge(pages, labelled=known).collect()
+    assert len(rows) == 8
+    got = {r["page_id"]: r for r in rows}
+    assert [got[i]["verdict"] for i in range(3)] == ["block", "allow", "block"]
+    assert got[0]["template"] == f"/{deep}/spam/{{n}}/x"
