@@ -24,7 +24,7 @@ def test_run(spark):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in rows:
         text = texts[r["doc_id"]]
-        if not secrets.find(text):
+        if not any(k < 3 for _, k, *_ in secrets.find(text, secrets.Pairs(secrets.prior_counts().tolist()))):
             assert r["ids"] == lib.encode(text, add_special_tokens=False).ids
         else:
             assert "[SECRET]" in lib.decode(r["ids"])

@@ -1,6 +1,8 @@
 """Operators on single texts against plain rewritings of their contracts."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -104,39 +106,86 @@ def test_secrets_base_spans(spark):
     assert found > 10
 
 
-def test_battery_tells_keys_from_words():
-    import random
+PAIRS = secrets.Pairs(secrets.prior_counts().tolist())
 
-    rng = random.Random(4)
-    for name, alphabet in secrets.ENCODINGS.items():
-        ps = []
-        for _ in range(200):
-            t = "".join(rng.choice(alphabet) for _ in range(48))
-            p = secrets.p_random(t)
-            if p is not None:
-                ps.append(p)
-        if ps:
-            assert sum(p < 0.01 for p in ps) <= 0.05 * len(ps) + 2, name
-    assert secrets.p_random("1111111111aaaaaaaaaaaaaaaaaaaaaaaaaaaaa") < 1e-6
-    assert secrets.p_random("abcdefghijklmnopqrstuvwxyz0123456789") < 1e-4
-    assert secrets.p_random("a" * 40) is None
-
-
-def test_battery_considers_nearly_all_keys():
-    import random
 
+def keys_of(rng, name, n, many):
+    return ["".join(rng.choice(secrets.ENCODINGS[name]) for _ in range(n)) for _ in range(many)]
+
+
+def test_battery_level():
+    """Random strings are rejected as often as the level says, in every encoding."""
+    rng = random.Random(4)
+    for name in secrets.ENCODINGS:
+        for n in (16, 24, 48):
+            ps = [x[0] for x in (secrets.battery(k, PAIRS) for k in keys_of(rng, name, n, 400)) if x]
+            assert sum(p < 0.05 for p in ps) <= 0.09 * len(ps) and sum(p < 0.001 for p in ps) <= 0.01 * len(ps) + 1, (name, n)
+    for odd in ("1111111111aaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz0123456789", "a" * 40):
+        assert secrets.battery(odd, PAIRS)[0] < 1e-3, odd
+    assert secrets.battery("12345678901234567890", PAIRS) is None
+
+
+def test_class_bounds():
+    for cls in range(8, 14):
+        low, high = math.ceil(2 ** (cls / 2)), math.ceil(2 ** ((cls + 1) / 2))
+        assert {secrets.class_of(n) for n in range(low, high)} == {cls}
+    assert secrets.class_of(128) == secrets.class_of(10**6) == 14
+
+
+def test_pair_counts_against_plain():
+    text = "Abc a1b2-c3 " + "x" * 16 + " ab\u00e9cd 9z=q"
+    want = Counter()
+    for run in re.findall("[A-Za-z0-9+/_-]+", text):
+        if len(run) <= secrets.MOST_WORD:
+            want.update((secrets._SYMBOL[a], secrets._SYMBOL[b]) for a, b in zip(run, run[1:]))
+    got = secrets.pair_counts(text)
+    assert {(i // secrets.SYMBOLS, i % secrets.SYMBOLS): int(n) for i, n in enumerate(got) if n} == dict(want)
+    assert secrets.pair_counts(None).sum() == secrets.pair_counts("").sum() == 0
+
+
+ORDINARY = """getUserAccountById2Impl report2023finalversion2draft7 Chapter12Section4Paragraph7Note3 src/main/java/org/example
+thisisaverylongword internationalization Donaudampfschifffahrt org/apache/commons/lang3 2023-11-05-meeting-notes
+application_form_v2_final DEFAULT_CONNECTION_TIMEOUT max-width-container_12 createElementNS2000 user_id_1234_name
+IMG_20231105_123456_copy invoice-2024-000123-final Kraftfahrzeughaftpflicht responsabilidades anticonstitutionnellement
+backup_2022_12_31_full server01-eu-west-2-prod node-exporter-metrics chapter-one-of-the-book""".split()
+
+
+def test_secrets_among_ordinary_tokens(spark):
+    """Planted keys of five encodings among ordinary tokens: nearly all keys are found, ordinary ones hardly ever."""
     rng = random.Random(5)
-    for name, n in (("base62", 20), ("base62", 32), ("base64", 24), ("hex", 24), ("base36", 20)):
-        keys = ["".join(rng.choice(secrets.ENCODINGS[name]) for _ in range(n)) for _ in range(1000)]
-        ps = [secrets.p_random(k) for k in keys]
-        # those not considered are misses, like those taken for structure
-        assert sum(p is None or p < 0.01 for p in ps) <= 25, (name, n)
+    rows, planted = [], {}
+    for i in range(2000):
+        around = [rng.choice(ORDINARY) + rng.choice(["", str(rng.randrange(10))]) for _ in range(3)]
+        if i % 10 == 0:
+            name, n = rng.choice([("base62", 20), ("base62", 32), ("base64", 24), ("hex", 24), ("base36", 20), ("base32", 32)])
+            planted[i] = keys_of(rng, name, n, 1)[0]
+            around.insert(1, planted[i])
+        rows.append((i, " ".join(around)))
+    # ordinary prose, from which the pairs are learnt
+    prose = table(spark, "/root/testdata/sf0.01", "documents").selectExpr("-1 - doc_id AS doc_id", "text")
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").unionByName(prose)).filter("doc_id >= 0").collect()
+    found = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["spans"]] for r in got}
+    right = sum(k in found[i] for i, k in planted.items())
+    reported = sum(map(len, found.values()))
+    assert right >= 0.95 * len(planted), (right, len(planted))
+    assert reported - right <= 0.1 * reported, (right, reported)
+
+
+def test_step_up_against_plain():
+    """The Benjamini-Hochberg step-up on steps, against sorted p-values."""
+    null = secrets.Null(PAIRS, 9)
+    rng = random.Random(7)
+    steps = Counter(rng.randrange(100, 320) for _ in range(300)) + Counter(rng.randrange(150, 210) for _ in range(20))
+    ps = sorted(null.p((s + 1) / secrets.STEPS + secrets.LEAST_STRUCTURE) for s, n in steps.items() for _ in range(n))
+    k = max((i + 1 for i, p in enumerate(ps) if p <= secrets.RATE * (i + 1) / len(ps)), default=0)
+    most = secrets.step_up(steps, null)
+    assert sum(n for s, n in steps.items() if s <= most) == k > 0
 
 
 def test_tokens_split_at_equals_signs(spark):
     key = "q7Zt3LxV9bKd2RmW8sHy"
     texts = [f"?sig={key}&x=1", f"AWS_KEY={key}==", f"{key}={key}", f"auth={key}", "see " + key, f"password={key}"]
-    spans = [[text[a:b] for a, kind, b, *_ in secrets.find(text) if kind == 3] for text in texts]
+    spans = [[text[a:b] for a, kind, b, *_ in secrets.find(text, PAIRS) if kind == 3] for text in texts]
     assert spans == [[key], [key + "=="], [key, key], [key], [key], []]
     out = {r["doc_id"]: r["text"] for r in secrets.redact(odd_docs(spark, texts)).collect()}
     assert out == dict(enumerate(["?sig=[SECRET]&x=1", "AWS_KEY=[SECRET]", "[SECRET]=[SECRET]", "auth=[SECRET]", "see [SECRET]", "[SECRET]"]))
