@@ -1,5 +1,7 @@
 """Personal data: pattern spans against plain regular expressions, the tagger on held-out texts."""
 
+import itertools
+import random
 import re
 
 import numpy as np
@@ -49,26 +51,51 @@ def test_whole_table(spark):
     assert found > 50
 
 
-def test_tagger_on_held_out_texts(spark):
-    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").select("text").collect()]
-    cut = len(texts) // 2
-
-    def rows(part):
-        xs, ys = [], []
-        for t in part:
-            spans = pii.pattern_spans(t)
-            if spans:
-                s = pii.windows(pii.codes(t))
-                xs.append(pii.cut(pii.codes(t), s))
-                ys.append(pii.cut(pii.labels_of(len(t), spans), s))
-        return np.concatenate(xs), np.concatenate(ys)
-
-    w = pii.train(*rows(texts[:cut]))
-    x, y = rows(texts[cut:])
-    got, _ = pii.tag(w, x)
-    both = ((got > 0) & (y > 0)).sum()
-    precision, recall = both / max(1, (got > 0).sum()), both / (y > 0).sum()
-    assert precision > 0.9 and recall > 0.9, (precision, recall)
+def test_model_finds_rewritten_spans_on_held_out_texts(spark):
+    """Spans in forms that no pattern covers, in texts that the model was not fitted to; and few others in the texts as they are."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    w = pii.fit(docs.filter("doc_id % 2 = 0"))
+    texts = [r["text"] for r in docs.filter("doc_id % 2 = 1").orderBy("doc_id").collect()]
+    rng = random.Random(3)
+    made = [pii.variant(t, spans, rng) for t in texts if (spans := pii.pattern_spans(t))]
+    hit, total = [0] * 4, [0] * 4
+    for (text, spans), found in zip(made, pii.find_all([t for t, _ in made], w)):
+        for a, k, z in spans:
+            if not any(s < z and a < e for s, q, e in found if q < 4):
+                total[k] += 1
+                hit[k] += any(q == 4 and min(e, z) - max(s, a) >= 0.8 * (z - a) for s, q, e in found)
+    assert sum(total) > 200 and min(total) > 40
+    assert sum(hit) >= 0.85 * sum(total) and all(h >= 0.7 * n for h, n in zip(hit, total)), (hit, total)
+    # in the texts as they are, all forms have patterns: what the model adds there is at most one for each fifty pattern spans
+    plain_found = pii.find_all(texts, w)
+    extra = sum(k == 4 for f in plain_found for _, k, _ in f)
+    assert extra <= 0.03 * sum(k < 4 for f in plain_found for _, k, _ in f) + 2, extra
+
+
+def test_variant_places():
+    text = "mail ab.c@d.example.org or +1 (017) 555-7713, 97.51.17.173 and 4111 1111 1111 1111."
+    spans = pii.pattern_spans(text)
+    assert [k for _, k, _ in spans] == [0, 3, 1, 2]
+    for seed in range(50):
+        new, found = pii.variant(text, spans, random.Random(seed))
+        rest = new
+        for a, _, z in reversed(found):
+            rest = rest[:a] + "#" + rest[z:]
+        assert rest == "mail # or #, # and #."
+
+
+def test_marginals_against_all_paths():
+    rng = np.random.default_rng(5)
+    e, trans = rng.standard_normal((4, 2, 3)).astype(np.float32), rng.standard_normal((3, 3)).astype(np.float32)
+    got = pii.inside(e, trans)
+    for n in range(2):
+        weight = {}
+        for path in itertools.product(range(3), repeat=4):
+            score = sum(e[t, n, y] for t, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))
+            weight[path] = np.exp(score)
+        for t in range(4):
+            want = sum(v for path, v in weight.items() if path[t]) / sum(weight.values())
+            assert abs(got[n, t] - want) < 1e-4
 
 
 def test_gradients():
@@ -96,5 +123,5 @@ def test_windows_cross_and_reconcile():
 def test_odd_rows(spark):
     docs = odd_docs(spark, [*TEXTS, "mail me@example.org or +1 555 010 9999 " * 3])
     got = {r["doc_id"]: r["spans"] for r in pii.scan(docs).collect()}
-    assert len(got[9]) == 6 and got[1] == [] and got[2] == []
+    assert sum(s["kind"] < 4 for s in got[9]) == 6 and got[1] == [] and got[2] == []
     assert pii.scan(empty(docs)).count() == 0

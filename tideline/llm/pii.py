@@ -1,16 +1,20 @@
 """Personal data in texts: fixed patterns, and a character tagger trained on them.
 
 The tagger is a bidirectional LSTM over characters with a CRF over its labels, in numpy.
-It is trained here, on at most TRAIN_WINDOWS windows of the given texts whose labels are
-the pattern spans. To make it see form and not only the exact pattern, spans in training
-windows are also shown with their digits replaced at random.
+It is trained here, on a sample of at most TRAIN_WINDOWS windows with spans and as many
+without, taken by hash from all texts. The labels are the pattern spans; texts with spans
+are also shown VARIANTS times with their spans rewritten in ways that the patterns don't
+cover: other separators, a missing country code, an at sign or dots in words or brackets,
+and other digits. So the tagger learns the form of the spans and finds what the patterns
+miss.
 
 Texts are cut into windows of WIDTH characters that overlap by half, batched through the
 network, and decoded. Every character takes its label from the window in whose middle it
 lies; runs of labels that cross windows are then joined over the whole text. A window
-without a digit or an at sign can hold no span of any kind and isn't run. A run becomes a
-`model` span if it has MODEL_DIGITS digits or an at sign, is sure on average, and touches
-no pattern span.
+without a digit, an at sign or a bracket before "at" isn't run: no span, plain or
+rewritten, is without one. A run becomes a `model` span if the CRF's marginal probability
+of lying in a span is MODEL_SURE on average and MODEL_LEAST everywhere, and if it touches no
+pattern span.
 
 Defined cases: null text is empty; empty texts have no spans; a corpus without any pattern
 span gets no model, hence pattern spans only; overlapping pattern spans of different kinds
@@ -19,15 +23,17 @@ are all reported; repeated rows are each scanned; an empty table gives no rows.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table, tune
+from tideline.llm.common import stage, table, tune
 
 #: The kinds and their patterns.
 KINDS = ["email", "ip", "card", "phone", "model"]
@@ -39,15 +45,15 @@ CARD_DIGITS, PHONE_DIGITS = (14, 19), (10, 15)
 _DIGIT = re.compile(r"[0-9]")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Windows of characters, and how many the model is fitted to at most.
-WIDTH, TRAIN_WINDOWS = 64, 1500
+#: Windows of characters, how many of either sort the model is fitted to at most, and rewritten versions of a text.
+WIDTH, TRAIN_WINDOWS, VARIANTS = 64, 1500, 3
 #: Epochs, but at least STEPS steps of BATCH windows.
-HIDDEN, EPOCHS, STEPS, BATCH, RATE = 16, 6, 160, 48, 0.02
+HIDDEN, EPOCHS, STEPS, BATCH, RATE = 16, 7, 200, 96, 0.03
 #: Character classes: ASCII one by one, everything else together.
 CLASSES = 129
 #: Labels: 0 outside, then begin and inside of each pattern kind.
 LABELS = 1 + 2 * (len(KINDS) - 1)
-MODEL_DIGITS, MODEL_SURE = 9, 0.9
+MODEL_SURE, MODEL_LEAST = 0.95, 0.6
 RUN = 512
 
 
@@ -93,6 +99,46 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+# -- rewritten spans ------------------------------------------------------------------------
+
+#: How addresses, numbers and cards are also written.
+AT, DOT = ["(at)", "[at]", " (at) ", " [at] ", " @ ", "@"], ["[dot]", "(dot)", " (dot) ", "[.]", " . "]
+IP_DOT, CARD_GAP, PHONE_GAP = ["[.]", " . ", "(.)", " [.] "], [".", "/", "_", " - ", "  "], [" ", ".", "/", "-", "  ", " - "]
+
+
+def rewritten(span: str, kind: int, rng: random.Random) -> str:
+    """A pattern span in a form that the patterns don't cover, with other digits."""
+    span = _DIGIT.sub(lambda m: rng.choice("0123456789"), span)
+    if kind == 0:
+        name, host = span.split("@", 1)
+        return name + rng.choice(AT) + host.replace(".", rng.choice(DOT))
+    if kind == 1:
+        return rng.choice(IP_DOT).join(re.split(r"\.", span))
+    digits = re.sub("[^0-9]", "", span)
+    if kind == 2:
+        gap = rng.choice(CARD_GAP)
+        return gap.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    # a phone number: country code with two zeros, in brackets or not at all, and any separator
+    gap, code, rest = rng.choice(PHONE_GAP), digits[:-10], digits[-10:]
+    area = rest[:3] if rng.random() < 0.5 else f"({rest[:3]})"
+    head = rng.choice(["", "", "00" + code + gap, f"({code}) ", code + gap]) if code else ""
+    return head + area + gap + rest[3:6] + gap + rest[6:]
+
+
+def variant(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """text with all its spans rewritten, and where they are then; of spans that overlap the first."""
+    out, size, at, found = [], 0, 0, []
+    for a, k, z in spans:
+        if a < at:
+            continue
+        new = rewritten(text[a:z], k, rng)
+        out += [text[at:a], new]
+        size += a - at
+        found.append((size, k, size + len(new)))
+        size, at = size + len(new), z
+    return "".join([*out, text[at:]]), found
+
+
 # -- windows --------------------------------------------------------------------------------
 
 
@@ -103,9 +149,10 @@ def codes(text: str) -> np.ndarray:
 
 
 def windows(c: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or an at sign; starts are multiples of half a window."""
+    """Starts of the windows that hold a digit, an at sign, "(at" or "[at"; starts are multiples of half a window."""
     half = WIDTH // 2
     some = ((c >= 48) & (c <= 57)) | (c == 64)
+    some[:-2] |= ((c[:-2] == 40) | (c[:-2] == 91)) & (c[1:-1] == 97) & (c[2:] == 116)
     if not some.any():
         return np.zeros(0, np.int64)
     blocks = np.pad(some, (0, -len(c) % half)).reshape(-1, half).any(axis=1)
@@ -161,16 +208,19 @@ def lstm_back(w: dict, d: str, x: np.ndarray, saved: list, dout: np.ndarray, gra
     n = x.shape[0]
     dh = np.zeros((n, HIDDEN), np.float32)
     dc = np.zeros((n, HIDDEN), np.float32)
-    gx, gh = np.zeros_like(w[f"x{d}"]), np.zeros_like(w[f"h{d}"])
+    gh = np.zeros_like(w[f"h{d}"])
+    dzs = np.empty((x.shape[1], n, 4 * HIDDEN), np.float32)
     for t in range(x.shape[1] - 1, -1, -1):
         i, f, o, g, old_h, old_c, tc = saved[t]
         dh = dh + dout[t]
         dc = dc + dh * o * (1 - tc * tc)
         dz = np.concatenate([dc * g * i * (1 - i), dc * old_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        np.add.at(gx, x[:, t], dz)
+        dzs[t] = dz
         gh += old_h.T @ dz
         dh, dc = dz @ w[f"h{d}"].T, dc * f
-    grad[f"x{d}"], grad[f"h{d}"] = gx, gh
+    which = np.zeros((x.size, CLASSES), np.float32)
+    which[np.arange(x.size), x.T.ravel()] = 1
+    grad[f"x{d}"], grad[f"h{d}"] = which.T @ dzs.reshape(-1, 4 * HIDDEN), gh
 
 
 def emissions(w: dict, x: np.ndarray) -> np.ndarray:
@@ -179,26 +229,28 @@ def emissions(w: dict, x: np.ndarray) -> np.ndarray:
     return both @ w["out"] + w["bias"]
 
 
-def logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
-
-
 def crf(e: np.ndarray, trans: np.ndarray, y: np.ndarray):
     """Mean negative log-likelihood of labels y (batch, time) and its gradients by e and trans, by the forward-backward sums."""
     steps, n, k = e.shape
-    alpha = np.empty_like(e)
-    beta = np.zeros_like(e)
-    alpha[0] = e[0]
-    for t in range(1, steps):
-        alpha[t] = e[t] + logsum(alpha[t - 1][:, :, None] + trans, 1)
+    # sums of exponentials, scaled to one at each step; the scales make up the logarithm of the whole
+    top = e.max(axis=2, keepdims=True)
+    p, t_ = np.exp(e - top), np.exp(trans)
+    alpha, beta = np.empty_like(p), np.ones_like(p)
+    z = top[:, :, 0].sum(axis=0)
+    for t in range(steps):
+        a = (alpha[t - 1] @ t_) * p[t] if t else p[0]
+        scale = a.sum(axis=1, keepdims=True)
+        alpha[t] = a / scale
+        z = z + np.log(scale[:, 0])
     for t in range(steps - 2, -1, -1):
-        beta[t] = logsum(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    z = logsum(alpha[-1], 1)
-    de = np.exp(alpha + beta - z[None, :, None])
-    dt = np.zeros_like(trans)
-    for t in range(1, steps):
-        dt += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
+        b = (p[t + 1] * beta[t + 1]) @ t_.T
+        beta[t] = b / b.sum(axis=1, keepdims=True)
+    both = alpha * beta
+    de = both / both.sum(axis=2, keepdims=True)
+    ahead = p[1:] * beta[1:]
+    # the chance of each transition, scaled to one for each place
+    total = np.einsum("tnj,tnj->tn", alpha[:-1] @ t_, ahead)
+    dt = t_ * np.einsum("tni,tnj->ij", alpha[:-1] / total[:, :, None], ahead)
     rows, ts = np.arange(n), np.arange(steps)
     gold = e[ts[:, None], rows[None, :], y.T].sum(axis=0) + trans[y[:, :-1], y[:, 1:]].sum(axis=1)
     np.subtract.at(de, (ts[:, None], rows[None, :], y.T), 1)
@@ -257,16 +309,35 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 9) -> dict:
     return w
 
 
+def inside(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """(batch, time) CRF marginals of any label but 0, by scaled forward-backward sums."""
+    steps, n, k = e.shape
+    p = np.exp(e - e.max(axis=2, keepdims=True))
+    t = np.exp(trans)
+    forward, back = np.empty_like(p), np.ones_like(p)
+    forward[0] = p[0] / p[0].sum(axis=1, keepdims=True)
+    for i in range(1, steps):
+        a = (forward[i - 1] @ t) * p[i]
+        forward[i] = a / a.sum(axis=1, keepdims=True)
+    for i in range(steps - 2, -1, -1):
+        b = (back[i + 1] * p[i + 1]) @ t.T
+        back[i] = b / b.sum(axis=1, keepdims=True)
+    both = forward * back
+    return (1 - both[:, :, 0] / both.sum(axis=2)).T
+
+
 def tag(w: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of windows, and how sure the network is of each."""
+    """Labels of windows, and the marginal probability of lying in a span (0 in windows without labels)."""
     ys, ps = [], []
     for at in range(0, len(x), RUN):
         e = emissions(w, x[at : at + RUN])
         y = viterbi(e, w["trans"])
-        p = np.exp(e - e.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
+        p = np.zeros(y.shape, np.float32)
+        some = y.any(axis=1)
+        if some.any():
+            p[some] = inside(e[:, some], w["trans"])
         ys.append(y)
-        ps.append(np.take_along_axis(p.transpose(1, 0, 2), y[:, :, None].astype(np.int64), axis=2)[:, :, 0])
+        ps.append(p)
     return np.concatenate(ys), np.concatenate(ps)
 
 
@@ -291,10 +362,7 @@ def model_spans(text: str, label: np.ndarray, sure: np.ndarray, base: list[tuple
         a, z = int(run[0]), int(run[-1]) + 1
         while z > a and not text[z - 1].isalnum():
             z -= 1
-        part = text[a:z]
-        if sum(c.isdigit() for c in part) < MODEL_DIGITS and "@" not in part[1:-1]:
-            continue
-        if sure[a:z].mean() >= MODEL_SURE and not any(s < z and a < e for s, _, e in base):
+        if z > a and sure[a:z].mean() >= MODEL_SURE and sure[a:z].min() >= MODEL_LEAST and not any(s < z and a < e for s, _, e in base):
             out.append((a, 4, z))
     return out
 
@@ -322,35 +390,49 @@ def find_all(texts: list[str | None], w: dict | None) -> list[list[tuple[int, in
 
 # -- on DataFrames ----------------------------------------------------------------------------
 
-_WINDOW = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+_WINDOW = pa.schema([("h", pa.int64()), ("full", pa.bool_()), ("x", pa.binary()), ("y", pa.binary())])
+
+
+def labelled_windows(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, labels) of a text and of its variants."""
+    spans = pattern_spans(text) if text else []
+    forms = [(text, spans)] if text else []
+    if spans:
+        rng = random.Random(text)
+        forms += [variant(text, spans, rng) for _ in range(VARIANTS)]
+    for t, found in forms:
+        c = codes(t)
+        s = windows(c)
+        if len(s):
+            yield cut(c, s), cut(labels_of(len(t), found), s)
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows with spans, and as many without from the same texts."""
+    """Of each partition, the windows of least hash, TRAIN_WINDOWS with spans and as many without."""
+    least: dict[bool, dict[int, tuple[bytes, bytes]]] = {True: {}, False: {}}
     for b in batches:
-        xs, ys = [], []
         for t in b.column(0):
-            text = t.as_py()
-            spans = pattern_spans(text) if text else []
-            if not spans:
-                continue
-            c = codes(text)
-            y = labels_of(len(text), spans)
-            s = windows(c)
-            x, lab = cut(c, s), cut(y, s)
-            full = lab.any(axis=1)
-            none = np.flatnonzero(~full)[: int(full.sum())]
-            for k in [*np.flatnonzero(full).tolist(), *none.tolist()]:
-                xs.append(x[k].tobytes())
-                ys.append(lab[k].tobytes())
-        if xs:
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], schema=_WINDOW)
+            for x, y in labelled_windows(t.as_py()):
+                full = y.any(axis=1)
+                for k in range(len(x)):
+                    row = x[k].tobytes()
+                    # equal windows count once
+                    least[bool(full[k])][xxhash.xxh3_64_intdigest(row, 9) >> 1] = row, y[k].tobytes()
+            for kept in least.values():
+                if len(kept) > 4 * TRAIN_WINDOWS:
+                    for h in sorted(kept)[TRAIN_WINDOWS:]:
+                        del kept[h]
+    for full, kept in least.items():
+        rows = [(h, full, *kept[h]) for h in sorted(kept)[:TRAIN_WINDOWS]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WINDOW)], schema=_WINDOW)
 
 
 def fit(docs: DataFrame) -> dict | None:
-    """A model from at most TRAIN_WINDOWS windows of docs (2 x WIDTH bytes each on the driver), or None if no text has a span."""
-    rows = docs.select("text").mapInArrow(_training, "x binary, y binary").limit(TRAIN_WINDOWS).collect()
-    if not rows:
+    """A model from at most 2 x TRAIN_WINDOWS windows of docs (2 x WIDTH bytes each on the driver), or None if no text has a span."""
+    found = stage(docs.select("text").mapInArrow(_training, "h long, full boolean, x binary, y binary"), "windows")
+    rows = [r for full in (True, False) for r in found.filter(F.col("full") == full).dropDuplicates(["h"]).orderBy("h").limit(TRAIN_WINDOWS).collect()]
+    if not rows or not rows[0]["full"]:
         return None
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.uint8).reshape(-1, WIDTH)
     y = np.frombuffer(b"".join(bytes(r["y"]) for r in rows), np.uint8).reshape(-1, WIDTH)
