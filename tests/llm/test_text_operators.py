@@ -77,6 +77,33 @@ def test_quality_separates_labelled_documents(spark):
     assert n.get((0, True), 0) <= 0.25 * (n.get((0, True), 0) + n.get((0, False), 0))
 
 
+def test_quality_fences_adapt_to_groups(spark):
+    """Two sources of different habits: what is usual in one is an outlier in the other; small groups use their language's fences."""
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    def doc(length, symbols=0, capitals=0, n=200):
+        w = [word(rng.choice([length - 1, length, length + 1])) for _ in range(n)]
+        for k in range(capitals):
+            w[k] = w[k].upper()
+        lines = [" ".join(w[i : i + 20]) for i in range(0, n, 20)]
+        return "\n".join(lines) + " " + "#" * symbols
+
+    rows = [("short", doc(4, symbols=rng.randrange(60))) for _ in range(120)] + [("long", doc(9)) for _ in range(120)]
+    rows += [("tiny", doc(9)) for _ in range(3)]
+    odd = [
+        ("short", doc(9)), ("long", doc(4)), ("long", doc(9, symbols=40)), ("short", doc(4, symbols=40)), ("long", doc(9, capitals=150)),
+        ("long", "\n".join([doc(9, n=20), *["x"] * 12, doc(9, n=100)])), ("long", doc(9, n=140) + (" " + " ".join("p q r s t u v w".split()) * 3)), ("tiny", doc(9, symbols=40)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.rate(docs).collect()}
+    assert all(not r["base_failed"] for r in got.values())
+    assert sum(not got[i]["kept"] for i in range(len(rows))) <= 3
+    kept = [got[len(rows) + i]["kept"] for i in range(len(odd))]
+    # other lengths, symbols only where they are unusual, shouting, repeated lines, repeated runs; a tiny source goes by all its language
+    assert kept[:6] == [False, False, False, True, False, False] and kept[7]
+
+
 def test_quality_keep_odd_rows(spark):
     docs = odd_docs(spark, TEXTS)
     kept = quality.keep(docs)

@@ -4,9 +4,13 @@ Each document gets counts and, from them, five integer measures. A sketch of a m
 table of bucket counts: exact below 64, then 32 buckets for each doubling, so that a value
 is known to within 1/32. Sketches merge by adding counts. Those of (language, source) merge
 into one per language and one of everything; a group of fewer than LEAST_DOCS documents
-uses the finest of these that is large enough. The fences lie three spreads outside the
-quartiles, a spread being the quartile distance, or a least spread where the documents
-hardly differ. The fences are then joined to the documents and decide.
+uses the finest of these that is large enough. The fences lie SPREADS spreads outside the
+quartiles. A spread is the quartile distance, but no less than what a single event (one
+symbol, two capitals, one repeated line, one repeated run, one very long word) makes in the
+document itself or in the group's median document, whichever is smaller; so groups whose
+documents are all without an event, and short documents, are judged by what chance gives.
+The medians come from sketches, too: no threshold is a constant. Quartiles and medians are
+joined to the documents and decide.
 
 Defined cases: null text has no words and fails the base rule; null language or source
 are groups of their own; texts without words give measures of 0; repeated rows are each
@@ -33,9 +37,16 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Documents that a group needs for fences of its own.
 LEAST_DOCS = 50
 #: Spreads between a quartile and its fence.
-SPREADS = 3
-#: Measure: its least spread, and whether small values are odd too.
-MEASURES = {"symbols": (20, False), "capitals": (60, False), "dup_lines": (120, False), "repeats": (80, False), "word_length": (200, True)}
+SPREADS = 4
+#: Measure: a count's share of a size, in so many parts; what an event adds to the count; and whether small values are odd too.
+MEASURES = {
+    "symbols": ("n_symbols", "word_chars", 1000, 1, False),
+    "capitals": ("n_capitals", "word_chars", 1000, 2, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 2 * SHINGLE, False),
+    "word_length": ("word_chars", "n_words", 100, 10, True),
+}
+SIZES = ["word_chars", "n_lines", "n_words"]
 #: Rows of fences up to which they are broadcast; beyond that they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -70,14 +81,7 @@ def count_udf(texts: pa.Array) -> pa.Array:
 
 def measures(c) -> dict[str, Column]:
     """The measures, as whole numbers, from the counts c(name)."""
-    per = lambda top, low, times: F.floor(c(top) * times / F.greatest(c(low), F.lit(1))).cast("long")
-    return {
-        "symbols": per("n_symbols", "word_chars", 1000),
-        "capitals": per("n_capitals", "word_chars", 1000),
-        "dup_lines": per("n_dup_lines", "n_lines", 1000),
-        "repeats": per("n_repeat_words", "n_words", 1000),
-        "word_length": per("word_chars", "n_words", 100),
-    }
+    return {m: F.floor(c(top) * times / F.greatest(c(low), F.lit(1))).cast("long") for m, (top, low, times, _, _) in MEASURES.items()}
 
 
 def bucket(v: Column) -> Column:
@@ -92,11 +96,11 @@ def bucket_top(b: Column) -> Column:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """(level, lang, source, measure, bucket, n) from rows of lang, source and the measures.
+    """(level, lang, source, measure, bucket, n) from rows of lang, source, the measures and the sizes.
 
     The sums run map-side first, so a hot source sends no more rows than it has buckets.
     """
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES))).alias("e")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in (*MEASURES, *SIZES)))).alias("e")
     fine = stats.select("lang", "source", each).groupBy("lang", "source", "e.measure", "e.bucket").agg(F.count("*").alias("n"))
     none = F.lit(None).cast("string")
     by_lang = fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")).withColumn("source", none)
@@ -106,26 +110,25 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, n, and low and high of each measure). Windows span the buckets of one sketch only."""
+    """(level, lang, source, n, the quartiles q1_ and q3_ of each measure, and the median mid_ of each size).
+
+    Windows span the buckets of one sketch only.
+    """
     of = ["level", "lang", "source", "measure"]
     before = Window.partitionBy(*of).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     all_of = Window.partitionBy(*of)
     run = sketch.withColumn("upto", F.sum("n").over(before)).withColumn("total", F.sum("n").over(all_of))
     quarter = lambda k: bucket_top(F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket"))))
-    q = run.groupBy(*of).agg(F.max("total").alias("n"), quarter(1).alias("q1"), quarter(3).alias("q3"))
-    wide = []
-    for m, (least, two_sided) in MEASURES.items():
-        this = F.col("measure") == m
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * SPREADS
-        low = F.col("q1") - spread if two_sided else F.lit(-1).cast("long")
-        wide += [F.max(F.when(this, low)).alias(f"{m}_low"), F.max(F.when(this, F.col("q3") + spread)).alias(f"{m}_high")]
+    q = run.groupBy(*of).agg(F.max("total").alias("n"), *(quarter(k).alias(f"q{k}") for k in (1, 2, 3)))
+    of_ = lambda m, k: F.max(F.when(F.col("measure") == m, F.col(k)))
+    wide = [of_(m, k).alias(f"{k}_{m}") for m in MEASURES for k in ("q1", "q3")] + [of_(m, "q2").alias(f"mid_{m}") for m in SIZES]
     return q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *wide)
 
 
 def fences_for(stats: DataFrame) -> DataFrame:
     """One row of fences for each (lang, source), from the finest sketch with LEAST_DOCS documents."""
     f = stage(fences(sketches(stats)), "fences")
-    bounds = [c for c in f.columns if c.endswith(("_low", "_high"))]
+    bounds = [c for c in f.columns if c.startswith(("q1_", "q3_", "mid_"))]
     packed = f.select("level", "lang", "source", "n", F.struct(*bounds).alias("b"))
     fine = packed.filter("level = 0").select(F.col("lang"), F.col("source"), F.col("n").alias("n0"), F.col("b").alias("b0"))
     by_lang = packed.filter("level = 1").select(F.col("lang").alias("lang1"), F.col("n").alias("n1"), F.col("b").alias("b1"))
@@ -148,10 +151,16 @@ def base_failed(c) -> Column:
     return (c("n_words") < LEAST_WORDS) | (c("n_repeat_words") * 100 > c("n_words") * MOST_REPEATED)
 
 
-def within(measure: dict[str, Column]) -> Column:
+def within(measure: dict[str, Column], c) -> Column:
+    """Whether all measures lie within the fences of a document with the counts c(name)."""
     out = F.lit(True)
-    for m, v in measure.items():
-        out = out & v.between(F.col(f"_tl_bounds.{m}_low"), F.col(f"_tl_bounds.{m}_high"))
+    for m, (_, low, times, event, two_sided) in MEASURES.items():
+        at = lambda k: F.col(f"_tl_bounds.{k}")
+        one = F.floor(F.lit(times * event) / F.greatest(F.least(c(low), at(f"mid_{low}")), F.lit(1))).cast("long")
+        spread = F.greatest(at(f"q3_{m}") - at(f"q1_{m}"), one) * SPREADS
+        out = out & (measure[m] <= at(f"q3_{m}") + spread)
+        if two_sided:
+            out = out & (measure[m] >= at(f"q1_{m}") - spread)
     return F.coalesce(out, F.lit(True))
 
 
@@ -162,7 +171,7 @@ def rate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     counted = stage(counted.select("*", *(v.alias(m) for m, v in measures(F.col).items())), "counts")
     failed = base_failed(F.col)
     out = with_fences(counted, fences_for(counted.filter(~failed)))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & within({m: F.col(m) for m in MEASURES}))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & within({m: F.col(m) for m in MEASURES}, F.col))
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -173,8 +182,8 @@ def keep(docs: DataFrame) -> DataFrame:
     c = lambda name: F.col(f"_tl_counts.{name}")
     passed = counted.filter(~base_failed(c))
     values = measures(c)
-    out = with_fences(passed, fences_for(passed.select("lang", "source", *(v.alias(m) for m, v in values.items()))))
-    return out.filter(within(values)).select(*(f"`{x}`" for x in columns))
+    out = with_fences(passed, fences_for(passed.select("lang", "source", *(v.alias(m) for m, v in values.items()), *(c(x).alias(x) for x in SIZES))))
+    return out.filter(within(values, c)).select(*(f"`{x}`" for x in columns))
 
 
 def op1_quality_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,14 +193,17 @@ def op1_quality_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    per = {"symbols": ("n_symbols", "word_chars", 1000), "capitals": ("n_capitals", "word_chars", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000), "word_length": ("word_chars", "n_words", 100)}
-    values = ", ".join(f"{a} * {t} // greatest({b}, 1) AS {m}" for m, (a, b, t) in per.items())
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in MEASURES)
-    low = lambda m: f"max(CASE WHEN measure = '{m}' THEN " + (f"q1 - {SPREADS} * greatest(q3 - q1, {MEASURES[m][0]})" if MEASURES[m][1] else "-1") + " END)"
-    high = lambda m: f"max(CASE WHEN measure = '{m}' THEN q3 + {SPREADS} * greatest(q3 - q1, {MEASURES[m][0]}) END)"
-    bounds = ", ".join(f"{low(m)} AS {m}_low, {high(m)} AS {m}_high" for m in MEASURES)
-    pick = lambda c: f"CASE WHEN f.n >= {LEAST_DOCS} THEN f.{c} WHEN g.n >= {LEAST_DOCS} THEN g.{c} ELSE h.{c} END"
-    ok = " AND ".join(f"{m} BETWEEN {pick(m + '_low')} AND {pick(m + '_high')}" for m in MEASURES)
+    values = ", ".join(f"{a} * {t} // greatest({b}, 1) AS {m}" for m, (a, b, t, _, _) in MEASURES.items())
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in (*MEASURES, *SIZES))
+    of = lambda m, k: f"max(CASE WHEN measure = '{m}' THEN {k} END)"
+    bounds = ", ".join([f"{of(m, k)} AS {k}_{m}" for m in MEASURES for k in ("q1", "q3")] + [f"{of(m, 'q2')} AS mid_{m}" for m in SIZES])
+    names = [f"{k}_{m}" for m in MEASURES for k in ("q1", "q3")] + [f"mid_{m}" for m in SIZES]
+    pick = ", ".join(f"CASE WHEN f.n >= {LEAST_DOCS} THEN f.{c} WHEN g.n >= {LEAST_DOCS} THEN g.{c} ELSE h.{c} END AS {c}" for c in names)
+    checks = []
+    for m, (_, size, times, event, two_sided) in MEASURES.items():
+        spread = f"{SPREADS} * greatest(q3_{m} - q1_{m}, {times * event} // greatest(least({size}, mid_{size}), 1))"
+        checks.append(f"{m} <= q3_{m} + {spread}" + (f" AND {m} >= q1_{m} - {spread}" if two_sided else ""))
+    ok = " AND ".join(checks)
     return rf"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, lang, source, text, [x FOR x IN string_split_regex(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words,
   [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM t),
@@ -210,13 +222,13 @@ v AS ({long}),
 b AS (SELECT *, greatest(0, length(bin(v)) - 6) AS e FROM v),
 bb AS (SELECT lang, source, measure, ((v >> e) + 1) * (1 << e) - 1 AS top FROM b),
 q AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, measure, count(*) AS n,
-  quantile_disc(top, 0.25) AS q1, quantile_disc(top, 0.75) AS q3
+  quantile_disc(top, 0.25) AS q1, quantile_disc(top, 0.5) AS q2, quantile_disc(top, 0.75) AS q3
   FROM bb GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))),
-f AS (SELECT level, lang, source, max(n) AS n, {bounds} FROM q GROUP BY level, lang, source)
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce({ok}, true) AS kept, {', '.join(f'CAST({x} AS BIGINT) AS {x}' for x in MEASURES)}
-FROM m LEFT JOIN f ON f.level = 0 AND m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
-LEFT JOIN f g ON g.level = 1 AND m.lang IS NOT DISTINCT FROM g.lang LEFT JOIN f h ON h.level = 2"""
+f AS (SELECT level, lang, source, max(n) AS n, {bounds} FROM q GROUP BY level, lang, source),
+j AS (SELECT m.*, {pick} FROM m LEFT JOIN f ON f.level = 0 AND m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+LEFT JOIN f g ON g.level = 1 AND m.lang IS NOT DISTINCT FROM g.lang LEFT JOIN f h ON h.level = 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({ok}, true) AS kept, {', '.join(f'CAST({x} AS BIGINT) AS {x}' for x in MEASURES)} FROM j"""
 
 
 OP1_SQL = _sql()
