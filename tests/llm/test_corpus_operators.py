@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 from tests.llm.fixtures import TEXTS, empty, odd_docs
 from tideline.llm import decontam, near_dup, sharding, url_filters
@@ -111,6 +112,65 @@ def test_blocks_of_an_open_bucket(spark, monkeypatch):
     assert got == {i: i for i in range(len(texts))} | {j: i for i, j in pairs}
 
 
+def classes_by_all_pairs(texts):
+    """The least place of each text's class, by an exact index of shingles and a union of all alike pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders, links = {}, 0
+    for i, s in enumerate(sets):
+        common = Counter(j for g in s for j in holders.get(g, ()))
+        for j, n in common.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                links += 1
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    return [top(i) for i in range(len(texts))], links
+
+
+def test_near_duplicates_in_families_of_three_edits(spark):
+    """Members of a family are alike in pairs only where their edits meet; every such link counts."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(3):
+        w = words(rng, 200)
+        for _ in range(60):
+            v = list(w)
+            for _ in range(3):
+                v[rng.randrange(70)] = "new" + str(rng.randrange(1000))
+            texts.append(" ".join(v))
+    want, links = classes_by_all_pairs(texts)
+    assert 100 < links < 2500
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(odd_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_near_duplicates_of_every_twentieth_document(spark):
+    """The documents whose id is divisible by 20 against all rows, by exact shingles: recall of links."""
+    rows = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, "/root/testdata/sf0.1", "documents")).collect()}
+    holders, sets = {}, {}
+    for r in rows:
+        w = (r["text"] or "").split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[r["doc_id"]]:
+            holders.setdefault(g, []).append(r["doc_id"])
+    links = found = 0
+    for q in (r["doc_id"] for r in rows if r["doc_id"] % 20 == 0):
+        for d, n in Counter(d for g in sets[q] for d in holders[g]).items():
+            if d != q and n >= 0.8 * (len(sets[q]) + len(sets[d]) - n):
+                links += 1
+                found += got[d] == got[q]
+    assert links > 50 and found >= 0.98 * links, (found, links)
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = odd_docs(spark, [*TEXTS, "a b", "a  b", "a b c"])
     rows = near_dup.classes(docs).collect()
