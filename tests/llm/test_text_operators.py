@@ -44,6 +44,24 @@ def test_bpe_on_odd_strings():
         assert a.decode(a.encode(s)) == s
 
 
+def test_bpe_transitions_are_deterministic():
+    """The table gives the same ids after it was emptied at any time, and one last token for each prefix: the library's for that prefix."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    a = bpe.Automaton(open(path, encoding="utf-8").read())
+    for word in (" internationalization", "aaaabaaaab", " Donaudampfschifffahrt", "1234567890", "\u00e9\u00e8\u6f22\u5b57"):
+        raw = word.encode()
+        state = 0
+        for i, byte in enumerate(raw):
+            state = a.table.get(state << 8 | byte, -1) if (state << 8 | byte) in a.table else a.step(state, byte)
+            prefix = raw[: i + 1].decode("utf-8", "ignore")
+            if len(prefix.encode()) == i + 1 and len(a.split.findall(prefix)) == 1:
+                assert lib.encode(prefix, add_special_tokens=False).ids[-1] == a.last[state]
+        before = a.encode_word(raw)
+        a.reset()
+        assert a.encode_word(raw) == before == tuple(lib.encode(word, add_special_tokens=False).ids)
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]

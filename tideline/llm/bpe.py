@@ -1,17 +1,20 @@
 """Byte-level BPE by a tokenization automaton.
 
-The automaton reads tokens; a path through it is a correct tokenization. It starts with
-one state that loops on every byte. Each merge a b -> c, in order, adds a gadget: where b
-could follow a, that arc goes and an arc labelled c takes its place, leading to where b
-led; every state that had an arc a gets the arc c. As all arcs of a label end in the same
-state, the state is the last token, and a gadget is three numbers: a, b and its time.
-Whether an arc survived is read off the gadgets backwards in time, and kept in the
-transition table, which thereby holds the arcs that texts use and not the 2.5 billion
-possible ones.
-
-To encode, pre-split words run through the automaton from left to right, by the table of
-transitions, longest arcs first; the one path to a word's end is its tokenization. To
-decode, the labels of the arcs are emitted.
+The automaton of tokens is built by gadgets. It starts with one state that loops on every
+byte. Each merge a b -> c, in order, adds a gadget: where b could follow a, that arc goes
+and an arc labelled c takes its place, leading to where b led; every state that had an arc a
+gets the arc c. As all arcs of a label end in the same state, the state is the last token.
+Written out, its arcs would be 2.5 billion; they are kept as the rows that gadgets share:
+three numbers for each, and whether an arc survived is read off them.
+
+Words are bytes, so the automaton is made deterministic over bytes by the subset
+construction: a state is the set of (place in a label, token before it) that the bytes so
+far allow. Every prefix of a word has one correct tokenization, so each state names one last
+token. States and their transitions are compiled when a text first needs them and kept in
+the table. To encode, a pre-split word runs through the table from left to right, one
+transition a byte, without search or backtracking; the tokens are those of the states at
+the word's end, at that token's start, and so on. To decode, the labels of the arcs are
+emitted.
 
 Defined cases: null text is empty; an empty text has no tokens; strings of added special
 tokens become those tokens, as in the tokenizers library; ids outside the vocabulary are
@@ -35,8 +38,8 @@ from tideline.llm.common import table, tune
 
 #: Fixed value: the public pattern that splits text before merging; white space as Unicode defines it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of each of two word caches, and of the transition table before it is emptied.
-CACHED_WORDS, CACHED_ARCS = 200_000, 1_000_000
+#: Entries of each of two word caches, of the table of arcs and of the transition table before they are emptied.
+CACHED_WORDS, CACHED_ARCS, CACHED_STEPS = 200_000, 1_000_000, 500_000
 
 
 def byte_letters() -> list[str]:
@@ -65,7 +68,6 @@ class Automaton:
             self.labels[i] = bytes(map(letter_byte.__getitem__, t))
         for t, i in added.items():
             self.labels[i] = t.encode()
-        self.longest = max(map(len, self.labels))
         self.added = added
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(SPLIT)
@@ -82,6 +84,9 @@ class Automaton:
         self.next: dict[int, int] = {}
         self.token_at: list[int] = [-1]
         for t, i in vocab.items():
+            # a label that no merge makes, other than a byte, is on no arc
+            if self.time[i] < 0 and len(self.labels[i]) > 1:
+                continue
             node = 0
             for byte in self.labels[i]:
                 key = node << 8 | byte
@@ -90,6 +95,9 @@ class Automaton:
                     node = self.next[key] = len(self.token_at)
                     self.token_at.append(-1)
             self.token_at[node] = i
+        self.inner = {key >> 8 for key in self.next}
+        self.length = list(map(len, self.labels))
+        self.reset()
         self.arcs: dict[int, bool] = {}
         #: Words in use, and those of the time before, so that common ones stay.
         self.words: dict[str, tuple[int, ...]] = {}
@@ -118,52 +126,53 @@ class Automaton:
             else:  # a token after itself
                 state, token, before = self.second[state], self.first[token], s
 
-    def starting(self, word: bytes, at: int) -> list[int]:
-        """Tokens that start at a place of word, the longest last."""
-        nxt, token_at = self.next, self.token_at
-        node, out = 0, []
-        for byte in word[at : at + self.longest]:
-            node = nxt.get(node << 8 | byte)
+    def reset(self) -> None:
+        """The byte automaton with its first state only: at the start of a label, after no token."""
+        self.subsets: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.numbers = {self.subsets[0]: 0}
+        #: The last token of each state, and the table of transitions from (state, byte).
+        self.last = [-1]
+        self.table: dict[int, int] = {}
+
+    def step(self, state: int, byte: int) -> int:
+        """Compiles one transition."""
+        token, further = -1, []
+        for node, before in self.subsets[state]:
+            node = self.next.get(node << 8 | byte)
             if node is None:
-                break
-            if token_at[node] >= 0:
-                out.append(token_at[node])
-        return out
+                continue
+            if node in self.inner:
+                further.append((node, before))
+            t = self.token_at[node]
+            if t >= 0:
+                ok = True
+                if before >= 0:
+                    key = before * self.size + t
+                    ok = self.arcs.get(key)
+                    if ok is None:
+                        ok = self.arcs[key] = self.arc(before, t)
+                if ok:
+                    token = t
+        subset = ((0, token), *further)
+        to = self.numbers.setdefault(subset, len(self.subsets))
+        if to == len(self.subsets):
+            self.subsets.append(subset)
+            self.last.append(token)
+        self.table[state << 8 | byte] = to
+        return to
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The one path through the automaton that reads word: longest arcs first, back from dead ends.
-
-        A path to a place is the correct tokenization up to there, so a place has one state
-        and needs no second try once it is known to be dead.
-        """
-        n, size, labels, arcs = len(word), self.size, self.labels, self.arcs
-        path: list[int] = []
-        open_: list[list[int]] = []
-        dead: set[int] = set()
-        at, choices = 0, self.starting(word, 0)
-        while at < n:
-            while choices:
-                t = choices.pop()
-                end = at + len(labels[t])
-                if end in dead:
-                    continue
-                if path:
-                    key = path[-1] * size + t
-                    ok = arcs.get(key)
-                    if ok is None:
-                        ok = arcs[key] = self.arc(path[-1], t)
-                    if not ok:
-                        continue
-                path.append(t)
-                open_.append(choices)
-                at = end
-                choices = self.starting(word, at) if at < n else []
-                break
-            else:
-                dead.add(at)
-                at -= len(labels[path.pop()])
-                choices = open_.pop()
-        return tuple(path)
+        """The tokens of a word, by one transition a byte."""
+        table, last, state, tokens = self.table, self.last, 0, []
+        for byte in word:
+            to = table.get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            tokens.append(last[state])
+        out, at = [], len(tokens)
+        while at:
+            out.append(tokens[at - 1])
+            at -= self.length[tokens[at - 1]]
+        return tuple(reversed(out))
 
     def encode_plain(self, text: str) -> list[int]:
         """Ids of a text in which no added token is looked for."""
@@ -172,6 +181,8 @@ class Automaton:
             self.older, self.words = self.words, {}
         if len(self.arcs) > CACHED_ARCS:
             self.arcs.clear()
+        if len(self.table) > CACHED_STEPS:
+            self.reset()
         known, older = self.words, self.older
         for w in set(words).difference(known):
             known[w] = older.get(w) or self.encode_word(w.encode())
