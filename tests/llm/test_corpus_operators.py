@@ -225,6 +225,28 @@ def test_leaks_against_all_pairs(spark):
     assert decontam.leaks(docs, empty(bench)).count() == 0 and decontam.leaks(empty(docs), bench).count() == 0
 
 
+def test_items_strewn_over_long_documents(spark):
+    """Items cut into 2 to 12 parts that lie far apart: found whenever exact containment says so."""
+    rng = random.Random(80)
+    items, texts = [], []
+    for i in range(80):
+        w = words(rng, rng.choice([60, 130, 400, 900]))
+        items.append((i, " ".join(w)))
+        parts = rng.randrange(2, 13)
+        cuts = [0, *sorted(rng.sample(range(1, len(w)), parts - 1)), len(w)]
+        pieces = [w[a:z] for a, z in zip(cuts, cuts[1:])]
+        rng.shuffle(pieces)
+        text = words(rng, 300)
+        for piece in pieces:
+            text += piece + words(rng, rng.randrange(20, 200))
+        texts.append((i, " ".join(text)))
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    want = {i for i in range(80) if len(sets(items[i][1]) & sets(texts[i][1])) >= 0.8 * len(sets(items[i][1]))}
+    assert len(want) > 50
+    found = decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in want}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.ORG", "https://x.Example.org/es/1?q#f", "http://example.org/en/12", "http://badexample.org/es/1", "http://com/de/x", "http://a.com/fr/", "http://xcom/de/", "http://net/#/a"]
     labelled = [(f"http://h.net/spam/{i}", True) for i in range(20)] + [(f"http://h.net/good/{i}", False) for i in range(20)]
