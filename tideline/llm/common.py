@@ -8,11 +8,14 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to words.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 #: Words in a shingle.
 SHINGLE = 5
+#: A key with more than 1/HOT of all rows is joined by broadcast in dealt_join.
+HOT = 1000
 #: Bytes of a word that are hashed from the table.
 SHORT = 64
 _RANDOM = np.random.default_rng(1).integers(0, 1 << 64, SHORT << 8, np.uint64)
@@ -58,6 +61,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of left with right, whose keys are unique and whose weight is their rows in left, of total.
+
+    The weights of hot keys add up to no more than total, so they are fewer than HOT rows.
+    """
+    hot, cold = right.filter(F.col(weight) * HOT > total), right.filter(F.col(weight) * HOT <= total)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.drop(weight), on)
+    return left.join(F.broadcast(hot.drop(weight)), on).unionByName(rest)
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, as UTF-8 bytes (null: none)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import stage, table, tune
+from tideline.llm.common import dealt_join, stage, table, tune
 
 #: Length of the strings, of the grams, and starts of grams in a window.
 LENGTH, GRAM = 200, 24
@@ -414,7 +414,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     where = F.min(F.struct("doc_id", "v", "x", "o")).alias("w")
     distinct = stage(met.filter("many").groupBy("h", "s").agg(F.count("*").alias("n"), where).select("h", "s", "n", "w.*"), "segments")
     place = ["doc_id", "v", "x", "o"]
-    whole = met.filter("NOT many").select(*place).unionByName(met.filter("many").join(distinct.filter("n > 1").select("h", "s"), ["h", "s"]).select(*place))
+    # a segment that a third of all texts have must not meet in one task
+    again = dealt_join(met.filter("many"), distinct.filter("n > 1").select("h", "s", "n"), ["h", "s"], "n", met.count())
+    whole = met.filter("NOT many").select(*place).unionByName(again.select(*place))
     whole = whole.select("doc_id", "v", F.col("x").alias("start"), (F.col("x") + F.col("o") % 256 + LENGTH).cast("int").alias("end"))
     want = distinct.groupBy("doc_id", "v").agg(F.collect_list(F.struct("h", "n", "x", "o")).alias("want"))
     # repeated rows give a segment twice, but then one that is repeated as a whole

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stage, table
+from tideline.llm.common import dealt_join, stage, table
 
 #: Verdict, host, start of the path.
 RULES = [
@@ -46,8 +46,6 @@ KEEP_PERCENT = 5
 SIMILAR_Z = 2.0
 #: Labels that a prior counts as, and the purity that rejects.
 PRIOR, REJECT = 4.0, 0.8
-#: A key with more than 1/HOT of all rows is joined by broadcast.
-HOT = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -68,16 +66,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of left with right, whose keys are unique and whose weight is their rows in left, of total.
-
-    The weights of hot keys add up to no more than total, so they are fewer than HOT rows.
-    """
-    hot, cold = right.filter(F.col(weight) * HOT > total), right.filter(F.col(weight) * HOT <= total)
-    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.drop(weight), on)
-    return left.join(F.broadcast(hot.drop(weight)), on).unionByName(rest)
-
-
 def form(c: Column) -> Column:
     return F.regexp_replace(c, "[0-9]+", "{n}")
 
