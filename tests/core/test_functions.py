@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions import arrays, conversions, expressions, json_values, rollout
+from tideline.functions import arrays, conversions, expressions, json_trees, json_values, rollout
 from tideline.operators import aggregates, sequence
 from tideline.plans import migration, repository, validation
 from tideline.sources import files
+from tideline.streaming import batches
 
 
 def one(spark, *columns):
@@ -97,7 +98,8 @@ def test_rollout(spark):
     r = rows.agg(F.min("b"), F.max("b"), F.avg(F.col("in").cast("int"))).first()
     assert r[0] == 0 and r[1] == 99 and abs(r[2] - 0.3) < 0.05
     df = spark.range(10).select((F.col("id") % 2).alias("s"), "id")
-    assert sorted(x["id"] for x in rollout.every(df, ["s"], ["id"], 2).collect()) == [0, 1, 4, 5, 8, 9]
+    assert sorted(x["id"] for x in rollout.every(df, ["s"], ["id"], 2).collect()) == [2, 3, 6, 7]
+    assert rollout.every(df, ["s"], ["id"], 0).count() == 0
 
 
 def test_sequence_laws(spark):
@@ -201,3 +203,46 @@ def test_json_trees(spark):
     assert load(r[4])["a"] == [{}, {}] and load(r[5]) == {"a": [{"b": 1}]} and load(r[6]) == {"a": [{"b": 1}, {"b": None}], "d": "x"} and load(r[7])["a"][0] == {"b": 2}
     assert set(load(r[8])) == {"A", "C", "D"} and r[9] == 8 and r[10] == "[1,null]" and r[11] == '"x"' and load(r[12])["c"] == 0
     assert r[13] == ".a[1].b: not integer" and r[14] is True and r[15] == ".: not JSON"
+
+
+def test_rollout_choices(spark):
+    assert rollout.choices("canary@prod/50%; v2 @ api/*/x ;v1") == [("canary", ["prod"], 50), ("v2", ["api", "*", "x"], None), ("v1", None, None)]
+    for bad in ("", " ", "@path", "value@", "v2@path/150%", "canary@prod50%", "canary@50%", "a;;b"):
+        with pytest.raises(ValueError):
+            rollout.choices(bad)
+    paths = spark.createDataFrame([("api/users",), ("api",), ("",), ("web/users",)], "p string")
+    pick = lambda e: [r[0] for r in paths.select(rollout.choose(e, F.col("p"), F.lit("k"))).collect()]
+    b = rollout.bucket_of("k")
+    assert pick("v@api/users") == ["v", None, None, None]
+    assert pick("v@*/users; w") == ["v", "w", "w", "v"]
+    assert pick(f"v@api/{b}%") == [None] * 4 and pick(f"v@api/{b + 1}%") == [None, "v", None, None]
+    assert pick("v@api/0%") == [None] * 4 and pick("v@api/100%") == [None, "v", None, None]
+    assert len(rollout.warnings("a; b@x")) == 1 and len(rollout.warnings("a@x/60%; b@x/50%")) == 1
+
+
+def test_json_kinds_and_numbers(spark):
+    assert json_values.difference({"x": 1}, {"x": True}) == [{"op": "set", "path": ["x"], "value": True}]
+    assert json_values.difference([0, 1], [False, 1.0]) == [{"op": "set", "path": [0], "value": False}]
+    assert json_trees.first_error(True, {"const": 1}) and json_trees.first_error(False, {"enum": [0]}) and not json_trees.first_error(1.0, {"const": 1})
+    assert json_trees.first_error(0.3, {"multipleOf": 0.1}) is None and json_trees.first_error(0.35, {"multipleOf": 0.1})
+    exact = '{"a":12345678901234567890.123456789,"b":[1E+400,0.1]}'
+    r = one(spark, json_values.sort_keys(F.lit(exact)), json_values.sort_keys(F.lit('{"a":NaN}')), json_values.sort_keys(F.lit("[" * 3000 + "]" * 3000)), json_values.get(F.lit('{"it\'s":{"b":1}}'), ["it's", "b"]))
+    assert list(r) == [exact, None, None, "1"]
+    deep = "[" * 900 + "1" + "]" * 900
+    assert len(one(spark, json_trees.entries(F.lit(deep)))[0]) == 901
+
+
+def test_formats(spark):
+    good = {"date": ["2024-02-29", "1999-12-31"], "time": ["23:59:59Z", "00:00:00.5+18:00"], "date-time": ["2024-02-29T10:00:00Z"], "ipv4": ["0.0.0.0", "255.1.2.3"], "hostname": ["a", "a-b.c1"], "email": ["a@b.co"], "uri": ["x:y"], "json-pointer": ["", "/a~1b/0"]}
+    bad = {"date": ["2024-99-99", "2023-02-29", "24-1-1"], "time": ["25:61:61Z", "10:00:00", "10:00:00+19:00"], "date-time": ["2024-02-30T10:00:00Z", "2024-02-29T24:00:00Z"], "ipv4": ["01.1.1.1", "256.1.1.1", "1.1.1"], "hostname": ["-a", "a..b", "a" * 64, ""], "email": ["a@b.c", "a@b"], "uri": ["x:", "no"], "json-pointer": ["a", "/~2"]}
+    for cases, want in ((good, True), (bad, False)):
+        for name, texts in cases.items():
+            for t in texts:
+                assert one(spark, validation.format_of(F.lit(t), name))[0] is want, (name, t)
+    assert one(spark, validation.format_of(F.lit(None).cast("string"), "date"))[0] is True
+
+
+def test_at_most_waits_after_the_last_row_taken(spark):
+    rows = [("a", 9, 1), ("a", 11, 2), ("a", 18, 3), ("a", 19, 4), ("b", 9, 5), ("b", 9, 6), (None, 1, 7)]
+    df = spark.createDataFrame(rows, "s string, t long, id int").withColumn("t", F.timestamp_seconds("t"))
+    assert sorted(r["id"] for r in batches.at_most(df, ["s"], "t", 10, ["id"]).collect()) == [1, 4, 5, 7]

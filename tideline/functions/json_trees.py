@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.json_values import ANY, _udf, dumps, json_type
+from tideline.functions.json_values import ANY, _udf, dumps, json_type, loads, same
 
 _ENTRY = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
 _ENTRY_ARROW = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
@@ -25,7 +26,7 @@ _ENTRY_ARROW = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()),
 def kind_of(v) -> str:
     if v is None:
         return "null"
-    for kind, name in ((bool, "boolean"), ((int, float), "number"), (str, "string"), (list, "array"), (dict, "object")):
+    for kind, name in ((bool, "boolean"), ((int, float, Decimal), "number"), (str, "string"), (list, "array"), (dict, "object")):
         if isinstance(v, kind):
             return name
     raise TypeError(v)
@@ -34,16 +35,21 @@ def kind_of(v) -> str:
 def parsed(text: str | None):
     """(value, whether it is JSON)."""
     try:
-        return (None, False) if text is None else (json.loads(text), True)
-    except ValueError:
+        return (None, False) if text is None else (loads(text), True)
+    except (ValueError, RecursionError):
         return None, False
 
 
 def walk(v, path: tuple = ()):
     """(path, value) of every node, parents first."""
-    yield path, v
-    for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
-        yield from walk(x, (*path, k))
+    todo = [(path, v)]
+    while todo:
+        path, v = todo.pop()
+        yield path, v
+        if isinstance(v, dict):
+            todo += [((*path, k), v[k]) for k in reversed(v)]
+        elif isinstance(v, list):
+            todo += [((*path, k), v[k]) for k in range(len(v) - 1, -1, -1)]
 
 
 def shown(path: Sequence) -> str:
@@ -253,7 +259,7 @@ def transform_keys(doc: Column, f: Callable) -> Column:
 
 # -- schema -------------------------------------------------------------------------------------
 
-_KINDS = {"integer": lambda v: kind_of(v) == "number" and float(v).is_integer()}
+_KINDS = {"integer": lambda v: kind_of(v) == "number" and v == int(v)}
 
 
 def first_error(v, schema, path: tuple = ()) -> str | None:
@@ -267,13 +273,13 @@ def first_error(v, schema, path: tuple = ()) -> str | None:
         if not any(_KINDS[t](v) if t in _KINDS else t == kind for t in types):
             return f"{here}: not {' or '.join(types)}"
     checks = {
-        "const": lambda x: v == x,
-        "enum": lambda x: v in x,
+        "const": lambda x: same(v, x),
+        "enum": lambda x: any(same(v, y) for y in x),
         "minimum": lambda x: kind != "number" or v >= x,
         "maximum": lambda x: kind != "number" or v <= x,
         "exclusiveMinimum": lambda x: kind != "number" or v > x,
         "exclusiveMaximum": lambda x: kind != "number" or v < x,
-        "multipleOf": lambda x: kind != "number" or v % x == 0,
+        "multipleOf": lambda x: kind != "number" or Decimal(str(v)) % Decimal(str(x)) == 0,
         "minLength": lambda x: kind != "string" or len(v) >= x,
         "maxLength": lambda x: kind != "string" or len(v) <= x,
         "pattern": lambda x: kind != "string" or re.search(x, v) is not None,

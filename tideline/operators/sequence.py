@@ -26,14 +26,19 @@ def _parts(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def with_index(df: DataFrame, order: list[str], start: int = 0, name: str = INDEX) -> DataFrame:
-    """Attach each row's position in the order, from start on (zipWithIndex, zipWithIndexFrom)."""
-    parts = _parts(df, order)
+    """Attach each row's position in the order, from start on (zipWithIndex, zipWithIndexFrom).
+
+    One shuffle: rows are sorted within their range and numbered there as they are written;
+    numbers of a range begin at a multiple of 2^33.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_here", F.col("_id").bitwiseAND((1 << 33) - 1))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row for each partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_here", here).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_here") - 1 + start).drop("_part", "_before", "_here")
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_here") + start).drop("_part", "_before", "_here", "_id")
 
 
 def take(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import arrays, conversions, documents, expressions, json_trees, json_values
+from tideline.functions import arrays, conversions, documents, expressions, json_trees, json_values, rollout
 from tideline.operators import aggregates, sequence
-from tideline.plans import migration, repository, validation
+from tideline.plans import migration, repository, scratch, validation
 from tideline.streaming import batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -409,8 +409,7 @@ def sql_repository(spark, sf):
     import uuid
 
     customers = read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    home = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tideline").rstrip("/")
-    repo = repository.Repository(spark, f"{home}/repository-{uuid.uuid4().hex}", customers.schema, "c_custkey").create()
+    repo = repository.Repository(spark, f"{scratch.home(spark)}/repository-{uuid.uuid4().hex}", customers.schema, "c_custkey").create()
     repo.insert_from(customers)
     repo.update_where(F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.lit(0.0)})
     repo.delete_where(F.col("c_nationkey") == 3)
@@ -419,13 +418,45 @@ def sql_repository(spark, sf):
 
 @query("SELECT n.* FROM nation n WHERE n_nationkey IN (1, 5, 9)")
 def sql_find_all(spark, sf):
-    keys = spark.createDataFrame([(k,) for k in (1, 5, 9)], "n_nationkey int")
-    return read(spark, sf, "nation").join(F.broadcast(keys), "n_nationkey", "left_semi")
+    path = f"{sf}/nation.parquet"
+    return repository.Repository(spark, path, spark.read.parquet(path).schema, "n_nationkey").find_all([1, 5, 9])
 
 
-@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS k FROM events) WHERE k = 1""")
+@query("""WITH RECURSIVE t AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL SELECT t.user_id, min(e.ts) FROM t JOIN events e ON e.user_id = t.user_id AND e.ts >= t.ts + INTERVAL 1 DAY GROUP BY t.user_id)
+SELECT user_id, min(event_id) AS event_id FROM t JOIN events USING (user_id, ts) GROUP BY user_id, ts""")
 def rate_at_most(spark, sf):
-    return batches.at_most(read(spark, sf, "events"), ["user_id"], "ts", 86400).select("user_id", "event_id")
+    return batches.at_most(read(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", 86400, ["event_id"]).select("user_id", "event_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k % 3 = 0")
+def rate_every(spark, sf):
+    return rollout.every(read(spark, sf, "events"), ["user_id"], ORDER, 3).select("user_id", "event_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'canary' WHEN user_id % 2 = 0 THEN 'even' ELSE 'rest' END AS choice FROM events""")
+def rollout_choices(spark, sf):
+    path = F.concat(F.col("event_type"), F.lit("/"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    expression = "never@*/even/0%; canary@click/*; even@*/even/100%; rest"
+    return read(spark, sf, "events").select("event_id", rollout.choose(expression, path, F.col("user_id").cast("string")).alias("choice"))
+
+
+@query("""SELECT event_id, true AS restored, true AS unchanged, CAST(json_extract_string(props, '$.k') AS BIGINT) <> 7 AS changes FROM events""")
+def json_diff_patch(spark, sf):
+    target = json_values.set_value(F.col("props"), ["k"], 7)
+    e = read(spark, sf, "events").select("event_id", "props", target.alias("target")).withColumn("ops", json_values.diff(F.col("props"), F.col("target")))
+    back = json_values.patch(F.col("props"), F.col("ops"))
+    return e.select("event_id", (json_values.sort_keys(back) == json_values.sort_keys(F.col("target"))).alias("restored"), (json_values.diff(F.col("props"), F.col("props")) == "[]").alias("unchanged"), (F.col("ops") != "[]").alias("changes"))
+
+
+@query("""SELECT o_orderkey, true AS date_ok, false AS time_ok, NOT (o_orderkey % 300 > 255) AS ipv4_ok, o_orderkey % 3 <> 0 AS host_ok FROM orders""")
+def validate_formats(spark, sf):
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    ip = F.concat(F.lit("10.0.0."), (key % 300).cast("string"))
+    host = F.concat(F.when(key % 3 == 0, "-").otherwise("h"), key.cast("string"), F.lit(".example.org"))
+    checks = [("date_ok", day, "date"), ("time_ok", F.lit("25:00:00Z"), "time"), ("ipv4_ok", ip, "ipv4"), ("host_ok", host, "hostname")]
+    return read(spark, sf, "orders").select("o_orderkey", *(validation.format_of(c, f).alias(n) for n, c, f in checks))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

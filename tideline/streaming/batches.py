@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,9 +25,25 @@ def distinct_within(stream: DataFrame, time: str, key: list[str], late: str) ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def at_most(df: DataFrame, site: list[str], time: str, seconds: int) -> DataFrame:
-    """The earliest row of each site in each interval of that many seconds, on a static table."""
-    slot = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000)).alias("_slot")
-    rest = [c for c in df.columns if c not in site]
-    first = F.min_by(F.struct(*rest), F.struct(time, *(c for c in rest if c != time)))
-    return df.groupBy(*site, slot).agg(first.alias("_r")).select(*site, "_r.*").select(*df.columns)
+def at_most(df: DataFrame, site: list[str], time: str, seconds: float, order: list[str] = ()) -> DataFrame:
+    """Of each site, the first row and then each that comes `seconds` or more after the last one taken; on a static table.
+
+    What is taken depends on what was, so a site's rows are streamed in order through one
+    task, which holds no more than a batch of them. `order` breaks ties of time.
+    """
+    names = df.columns
+    gap = int(seconds * 1_000_000)
+    keyed = df.select(F.to_json(F.struct(*site)).alias("_site"), F.unix_micros(F.col(time).cast("timestamp")).alias("_at"), *names)
+
+    def taken(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0
+        for f in frames:
+            keep = []
+            for s, at in zip(f["_site"], f["_at"]):
+                fresh = s != now or at - last >= gap
+                keep.append(fresh)
+                if fresh:
+                    now, last = s, at
+            yield f.loc[keep, names]
+
+    return keyed.repartition("_site").sortWithinPartitions("_site", "_at", *order).mapInPandas(taken, df.schema)
