@@ -39,7 +39,7 @@ from tideline.llm.common import table, tune
 #: Fixed value: the public pattern that splits text before merging; white space as Unicode defines it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries of each of two word caches, of the table of arcs and of the transition table before they are emptied.
-CACHED_WORDS, CACHED_ARCS, CACHED_STEPS = 200_000, 1_000_000, 500_000
+CACHED_WORDS, CACHED_ARCS, CACHED_STEPS = 100_000, 300_000, 500_000
 
 
 def byte_letters() -> list[str]:
@@ -61,7 +61,8 @@ class Automaton:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with flags are not supported")
-        size = 1 + max(chain(vocab.values(), added.values()))
+        # one number more than there are tokens
+        size = 2 + max(chain(vocab.values(), added.values()))
         #: The label of each arc.
         self.labels = [b""] * size
         for t, i in vocab.items():
@@ -128,7 +129,8 @@ class Automaton:
 
     def reset(self) -> None:
         """The byte automaton with its first state only: at the start of a label, after no token."""
-        self.subsets: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        #: Of each state, (place in a label) * size + (token before it, or the last number for none).
+        self.subsets: list[tuple[int, ...]] = [(self.size - 1,)]
         self.numbers = {self.subsets[0]: 0}
         #: The last token of each state, and the table of transitions from (state, byte).
         self.last = [-1]
@@ -136,24 +138,26 @@ class Automaton:
 
     def step(self, state: int, byte: int) -> int:
         """Compiles one transition."""
+        size, none = self.size, self.size - 1
         token, further = -1, []
-        for node, before in self.subsets[state]:
+        for pair in self.subsets[state]:
+            node, before = divmod(pair, size)
             node = self.next.get(node << 8 | byte)
             if node is None:
                 continue
             if node in self.inner:
-                further.append((node, before))
+                further.append(node * size + before)
             t = self.token_at[node]
             if t >= 0:
                 ok = True
-                if before >= 0:
-                    key = before * self.size + t
+                if before != none:
+                    key = before * size + t
                     ok = self.arcs.get(key)
                     if ok is None:
                         ok = self.arcs[key] = self.arc(before, t)
                 if ok:
                     token = t
-        subset = ((0, token), *further)
+        subset = (token, *further)
         to = self.numbers.setdefault(subset, len(self.subsets))
         if to == len(self.subsets):
             self.subsets.append(subset)
