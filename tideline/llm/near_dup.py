@@ -17,9 +17,10 @@ all such pairs that join two different components. Texts are sent to the groups
 hubs, hubs of many are dealt into parts of PART candidates, and tasks stream over them.
 The third searches all pairs of each bucket that still has members of different
 components, as buckets of texts on one template do. Its members are grouped by length, as
-like texts differ by a quarter at most, dealt into blocks, and every two blocks of a group
-meet in a task; so rows sent grow with the square of such a group over BLOCK. Components
-come from alternating large-star and small-star steps.
+like texts differ by a quarter at most, and dealt into blocks. The largest component of a
+group needs no pairs within, so its blocks meet those of the other members only, and these
+each other; rows sent grow with the square of the members outside the largest component over
+BLOCK. Components come from alternating large-star and small-star steps.
 
 Defined cases: null text is empty; empty texts are equal, hence one class; texts of fewer
 than five words have one shorter k-mer, so only texts of the same words are like them;
@@ -248,10 +249,19 @@ def searched(members: DataFrame, own: DataFrame, nodes: DataFrame, docs: DataFra
     # like texts are in the same size class or in two neighbours
     cls = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.26))).cast("int")
     rows = rows.join(known.select("node", "size"), "node").withColumn("up", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cls", cls - F.col("up").cast("int"))
-    groups = rows.groupBy("v", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("up").alias("none"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    groups = groups.filter("not none and lo < hi").select("v", "cls", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_KMERS)).cast("int").alias("blocks"))
-    dealt = rows.drop("size").join(groups, ["v", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # the largest component of a group needs no pairs within: the others' blocks meet all blocks, its own only theirs
+    parts = rows.groupBy("v", "cls", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("up").alias("up"))
+    parts = stage(parts, "groups")
+    whole = parts.groupBy("v", "cls").agg(F.max(F.struct("n", "size", "c")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("up").alias("none"), F.count("*").alias("k"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_KMERS)).cast("int")
+    groups = whole.filter("not none and k > 1").select(
+        "v", "cls", F.col("main.c").alias("_main"), blocks(F.col("main.n"), F.col("main.size")).alias("main_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("blocks")
+    )
+    dealt = rows.drop("size").join(groups, ["v", "cls"])
+    main = F.col("c") == F.col("_main")
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = dealt.withColumn("block", F.when(main, F.col("blocks") + at("main_blocks")).otherwise(at("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("main_blocks") - 1))))
     dealt = dealt.select("v", "cls", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "up", "c", "node")
     key = ["v", "cls", "x", "y"]
     dealt = dealt.join(known, "node").select(*key, "block", "up", "c", "node", "k", "sketch").repartition(*key).sortWithinPartitions(*key)
