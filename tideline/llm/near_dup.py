@@ -50,9 +50,9 @@ LEAST = 80
 #: Candidates of one hub that a task verifies together.
 PART = 64
 #: Members of an open bucket, and their k-mers, that make a block.
-BLOCK, BLOCK_KMERS = 128, 1 << 20
+BLOCK, BLOCK_KMERS = 1024, 1 << 20
 #: Columns of k-mers that are counted at once.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 12
 #: K-mers that are ranked at once, times FUNCTIONS.
 CHUNK = 1 << 14
 _SEEDS = np.random.default_rng(6).integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
