@@ -132,6 +132,38 @@ def test_migration_checks_and_reverses(spark):
             bad.apply(df)
 
 
+def test_nested_migrations(spark):
+    rows = [("a", 1, (1, "x")), ("b", 2, None), (None, 3, (3, None))]
+    df = spark.createDataFrame(rows, "tag string, n int, s struct<k: int, t: string>")
+    add = migration.Migration((migration.AddField("twice", F.col("k") * 2), migration.RenameField("t", "u")))
+    m = migration.Migration((migration.MigrateField("s", add), migration.TransformCase("tag", "b", migration.Migration((migration.TransformField("n", lambda c: c + 10, lambda c: c - 10),)))))
+    out = m.apply(df)
+    assert out.columns == df.columns and out.schema["s"].dataType.names == ["k", "u", "twice"]
+    assert sorted(out.collect(), key=lambda r: r["n"]) == [("a", 1, (1, "x", 2)), (None, 3, (3, None, 6)), ("b", 12, None)]
+    assert sorted(m.reverse().apply(out).collect(), key=lambda r: r["n"]) == rows
+    for bad in (migration.MigrateField("n", add), migration.MigrateField("no", add), migration.TransformCase("tag", "a", migration.Migration((migration.DropField("n"),)))):
+        with pytest.raises(migration.MigrationError):
+            bad.apply(df)
+
+
+def test_merge_by():
+    pick = lambda path, a, b: [list(path), a, b]
+    assert json_values.merged_by({"a": [1, 2], "o": {"x": 1}}, {"a": [9], "o": {"x": 2, "y": 3}}, pick) == {"a": [[["a", 0], 1, 9], 2], "o": {"x": [["o", "x"], 1, 2], "y": 3}}
+    assert json_values.merged_by({"o": {"x": 1}}, {"o": {}}, pick, lambda path, v: not path) == {"o": [["o"], {"x": 1}, {}]}
+    assert json_values.merged_by({}, [], pick) == [[], {}, []]
+
+
+def test_running_by_and_catch_all(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([None, 3, 1, None, 7, 2])], "id int, v int")
+    states = lambda d: [r["state"] for r in sequence.running_by(d, ["id"], "v", F.max, F.greatest, 2).orderBy(F.col("id").asc_nulls_first()).collect()]
+    assert states(df) == [2, 2, 3, 3, 3, 7, 7] and states(df.limit(0)) == [2]
+    other = spark.createDataFrame([(100, 0), (101, None)], "id int, v int")
+    caught = lambda e: sorted((r["source"], r["id"], r["error"]) for r in sequence.catch_all(df, ["id"], e, other).collect())
+    assert caught(F.when(F.col("v") < 3, F.lit("small"))) == [(0, 0, None), (0, 1, None), (1, 100, "small"), (1, 101, "small")]
+    assert [r[:2] for r in caught(F.when(F.col("v") > 9, F.lit("x")))] == [(0, i) for i in range(6)]
+    assert caught(F.lit("all"))[0] == (1, 100, "all")
+
+
 def test_validation_formats(spark):
     df = spark.createDataFrame([("1.2.3.4", "a@b.cd"), ("1.2.3.444", "ab"), (None, None)], "ip string, mail string")
     good, bad = validation.split_valid(df, {"ip": validation.format_of(F.col("ip"), "ipv4"), "mail": validation.format_of(F.col("mail"), "email")})

@@ -141,6 +141,38 @@ def running(df: DataFrame, order: list[str], value: str, init: float | int = 0,
     return rows.unionByName(seed, allowMissingColumns=True)
 
 
+def running_by(df: DataFrame, order: list[str], value: str, fold: Callable, both: Callable, init, name: str = "state") -> DataFrame:
+    """The running value of an aggregate, with the seed first, hence n + 1 rows.
+
+    fold is an aggregate of Spark that may be taken over its own partial results (max, min,
+    bool_and, bit_or, sum); both joins two of its values. Nulls leave the state as it is.
+    Only the values of partitions are carried over, so no task sees all rows.
+    """
+    parts = _parts(df, order)
+    ends = parts.groupBy("_part").agg(fold(value).alias("_s"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_part", fold("_s").over(before).alias("_carry"))
+    here = fold(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    seed = F.lit(init).cast(ends.schema["_carry"].dataType)
+    join = lambda a, b: F.when(b.isNull(), a).otherwise(both(a, b))
+    rows = parts.withColumn("_here", here).join(F.broadcast(ends), "_part")
+    rows = rows.withColumn(name, join(join(seed, F.col("_carry")), F.col("_here"))).drop("_part", "_here", "_carry")
+    return rows.unionByName(df.sparkSession.range(1).select(seed.cast(rows.schema[name].dataType).alias(name)), allowMissingColumns=True)
+
+
+def catch_all(df: DataFrame, order: list[str], error: Column, other: DataFrame) -> DataFrame:
+    """The rows before the first that has an error, then, if one has, all rows of other (orElse, catchAll).
+
+    error is null where a row is right. `source` (0, then 1) comes before the order columns
+    in the new order; rows of other get that first error as `error`, which they may build on.
+    """
+    stop = df.agg(F.min(F.when(error.isNotNull(), F.struct(*order, error.alias("_error")))).alias("_stop"))
+    first = F.struct(*(F.col("_stop")[c] for c in order))
+    head = df.crossJoin(F.broadcast(stop)).filter(F.col("_stop").isNull() | (F.struct(*order) < first)).withColumn("source", F.lit(0)).withColumn("error", F.when(F.lit(False), F.col("_stop._error")))
+    rest = other.crossJoin(F.broadcast(stop)).filter(F.col("_stop").isNotNull()).withColumn("source", F.lit(1)).withColumn("error", F.col("_stop._error"))
+    return head.drop("_stop").unionByName(rest.drop("_stop"))
+
+
 def intersperse(df: DataFrame, order: list[str], value: str, separator) -> DataFrame:
     """(position, value): the values with a separator between neighbours, 2n - 1 rows."""
     rows = with_index(df, order)

@@ -7,6 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Holds the row as it was while the actions of a nested migration run.
+_ROW = "_row"
 
 
 class MigrationError(ValueError):
@@ -186,6 +190,57 @@ class TransformValues:
         return Irreversible(f"values of {self.name}")
 
 
+@dataclass(frozen=True)
+class MigrateField:
+    """Apply a migration to the fields of a struct field; null structs stay null."""
+
+    name: str
+    migration: Migration
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        _need(df, self.name)
+        kind = df.schema[self.name].dataType
+        if not isinstance(kind, T.StructType):
+            raise MigrationError(f"field {self.name} is no struct")
+        if _ROW in kind.names:
+            raise MigrationError(f"field {_ROW} is reserved")
+        held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(_ROW), *(F.col(f"`{self.name}`")[c].alias(c) for c in kind.names))
+        inner = self.migration.apply(held)
+        made = F.struct(*(F.col(f"`{c}`") for c in inner.columns if c != _ROW))
+        value = F.when(F.col(_ROW)[self.name].isNotNull(), made)
+        return inner.select(*(value.alias(c) if c == self.name else F.col(_ROW)[c].alias(c) for c in df.columns))
+
+    def reverse(self):
+        return MigrateField(self.name, self.migration.reverse())
+
+
+@dataclass(frozen=True)
+class TransformCase:
+    """Apply a migration to the rows of one case of a tag field, the others stay.
+
+    All cases share a schema, so the migration must keep it; a case that has a struct of its
+    own can be given other fields by MigrateField. Rows without a tag are of no case. The
+    reverse finds the rows by the tag as it is then.
+    """
+
+    name: str
+    case: str
+    migration: Migration
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        _need(df, self.name)
+        _free(df, _ROW)
+        made = self.migration.apply(df.withColumn(_ROW, F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+        kinds = {f.name: f.dataType for f in made.schema if f.name != _ROW}
+        if kinds != {f.name: f.dataType for f in df.schema}:
+            raise MigrationError(f"the schema of case {self.case} isn't kept")
+        here = F.col(_ROW)[self.name] == self.case
+        return made.select(*(F.when(here, F.col(f"`{c}`")).otherwise(F.col(_ROW)[c]).alias(c) for c in df.columns))
+
+    def reverse(self):
+        return TransformCase(self.name, self.case, self.migration.reverse())
+
+
 @dataclass(frozen=True)
 class Irreversible:
     """Stands for an action that can't be undone; applying it fails."""

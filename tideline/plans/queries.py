@@ -104,6 +104,23 @@ def seq_scan(spark, sf):
     return sequence.running(read(spark, sf, "events").select(*ORDER, "user_id"), ORDER, "user_id", 10).select("event_id", F.col("state").cast("long").alias("state"))
 
 
+@query("""SELECT event_id, greatest(40, max(user_id) OVER (ORDER BY ts, event_id)) AS state FROM events
+UNION ALL SELECT NULL, 40""")
+def seq_running_max(spark, sf):
+    e = read(spark, sf, "events").select(*ORDER, "user_id")
+    return sequence.running_by(e, ORDER, "user_id", F.max, F.greatest, 40).select("event_id", F.col("state").cast("long").alias("state"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events), s AS (SELECT min(i) AS i FROM e WHERE value > 200)
+SELECT event_id AS id, 0 AS source, NULL AS error FROM e, s WHERE s.i IS NULL OR e.i < s.i
+UNION ALL SELECT c_custkey, 1, 'too large: ' || e.event_id FROM customer, s JOIN e ON e.i = s.i""")
+def seq_catch_all(spark, sf):
+    e = read(spark, sf, "events").select("ts", "event_id", "value", F.col("event_id").alias("id"))
+    error = F.when(F.col("value") > 200, F.concat(F.lit("too large: "), F.col("event_id")))
+    other = read(spark, sf, "customer").select(F.lit(None).cast(e.schema["ts"].dataType).alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"), F.col("c_custkey").alias("id"))
+    return sequence.catch_all(e, ORDER, error, other).select("id", "source", "error")
+
+
 @query(f"{_IDX} SELECT 2 * i AS position, event_type FROM e UNION ALL SELECT 2 * i - 1, '|' FROM e WHERE i > 0")
 def seq_intersperse(spark, sf):
     out = sequence.intersperse(read(spark, sf, "events").select(*ORDER, "event_type"), ORDER, "event_type", "|")
@@ -393,6 +410,15 @@ def migrate(spark, sf):
     return m.apply(read(spark, sf, "customer"))
 
 
+@query("""SELECT c_custkey, lower(c_name) AS label, c_nationkey + 100 AS nation, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer""")
+def migrate_nested(spark, sf):
+    inner = migration.Migration((migration.RenameField("c_name", "label"), migration.TransformField("label", F.lower), migration.AddField("nation", F.col("c_nationkey") + 100), migration.DropField("c_nationkey")))
+    zero = migration.Migration((migration.TransformField("c_acctbal", lambda c: F.lit(0.0)),))
+    m = migration.Migration((migration.MigrateField("who", inner), migration.TransformCase("c_mktsegment", "BUILDING", zero)))
+    rows = read(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.struct("c_name", "c_nationkey").alias("who"))
+    return m.apply(rows).select("c_custkey", "who.label", "who.nation", "c_acctbal")
+
+
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10 AND (p_brand = 'Brand#7' OR p_retailprice < 950) ORDER BY p_size DESC, p_partkey LIMIT 40")
 def sql_select(spark, sf):
     s = repository.Select("part").project("p_partkey", "p_name", "p_size").where("p_size > ?", 10).where("p_brand = ? OR p_retailprice < ?", "Brand#7", 950.0).order_by("p_size", True).order_by("p_partkey").limit(40)
@@ -478,6 +504,12 @@ def html_select(spark, sf):
     )
 
 
+@query("SELECT event_id, '{\"k\":' || (CAST(json_extract_string(props, '$.k') AS BIGINT) + 5) || ',\"n\":[1]}' AS merged FROM events")
+def json_merge_by(spark, sf):
+    p = F.col("props")
+    return read(spark, sf, "events").select("event_id", json_values.merge_by(p, F.lit('{"k":5,"n":[1]}'), lambda path, a, b: a + b).alias("merged"))
+
+
 @query("SELECT event_id, '.k' AS path, 'number' AS kind, json_extract_string(props, '$.k') AS value FROM events")
 def json_leaves(spark, sf):
     kv = F.explode(json_trees.leaves("props")).alias("e")
