@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tests.llm.fixtures import TEXTS, empty, odd_docs
 from tideline.llm import decontam, near_dup, sharding, url_filters
 from tideline.llm.common import table
@@ -247,6 +249,23 @@ def test_items_strewn_over_long_documents(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in want}
 
 
+def test_leaks_read_each_text_once(spark):
+    """Texts that hold nothing are left where they are: no join brings all texts to their candidates."""
+    rng = random.Random(81)
+    item = " ".join(words(rng, 40))
+    texts = [" ".join(words(rng, 200)) + (" " + item if i % 20 == 0 else "") for i in range(100)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        read.add(1)
+        return t
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.udf(counted, "string").asNondeterministic()("text"))
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.leaks(docs, bench).collect()} == set(range(0, 100, 20))
+    assert read.value == 100
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.ORG", "https://x.Example.org/es/1?q#f", "http://example.org/en/12", "http://badexample.org/es/1", "http://com/de/x", "http://a.com/fr/", "http://xcom/de/", "http://net/#/a"]
     labelled = [(f"http://h.net/spam/{i}", True) for i in range(20)] + [(f"http://h.net/good/{i}", False) for i in range(20)]

@@ -11,7 +11,7 @@ of the item's distinct five-word shingles that the whole document has.
 
 The index is a table of (class, function, value) and item. Documents meet it by shuffle: of
 each text the values that may be in the index, by two bitmaps of fixed size, are joined to
-it, and the candidates (text, item) are dealt by text, PART items a task's portion, and
+it (texts without such values are passed over once and never shuffled), and the candidates (text, item) are dealt by text, PART items a task's portion, and
 verified there. Nothing that grows with the benchmark is broadcast or collected. Equal texts
 are looked up once. A value that many texts have is dealt over SALTS tasks.
 
@@ -220,7 +220,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str, item_key: str) ->
             yield pa.array([[{"cls": c, "v": v} for c, v in known.value.values(t.as_py())] for t in texts], kind)
 
     text = F.col("text")
-    met = docs.select(F.col(key).alias("key"), name_of(text).alias("name"), values(text).alias("values"))
+    # texts that may hold an item are kept with their values, so that the others are never shuffled
+    met = docs.select(F.col(key).alias("key"), name_of(text).alias("name"), values(text).alias("values"), text.alias("text"))
     met = stage(met.filter(F.size("values") > 0), "values")
     own = met.groupBy("name").agg(F.min("key").alias("home"), F.first("values").alias("values"))
     asked = own.select("name", F.explode("values").alias("x")).select("name", "x.*", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -229,8 +230,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str, item_key: str) ->
     # a text goes to its candidates in parts, so that none is held against all items at once
     parts = stage(pairs.groupBy("name").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
     wanted = parts.join(met.groupBy("name").agg(F.min("key").alias("home")), "name").withColumnRenamed("name", "_tl_name")
-    texts = docs.select(F.col(key).alias("key"), name_of(text).alias("name"), "text")
-    texts = texts.join(wanted, (F.col("name") == F.col("_tl_name")) & F.col("key").eqNullSafe(F.col("home")))
+    texts = met.select("key", "name", "text").join(wanted, (F.col("name") == F.col("_tl_name")) & F.col("key").eqNullSafe(F.col("home")))
     none = lambda kind: F.lit(None).cast(kind)
     heads = texts.select("name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none("long").alias("no"), "text", none("binary").alias("shingles"))
     items = pairs.join(parts, "name").join(rows.filter("shingles IS NOT NULL").select("no", "shingles"), "no")
