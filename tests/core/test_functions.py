@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import arrays, conversions, expressions, json_trees, json_values, rollout
 from tideline.operators import aggregates, sequence
-from tideline.plans import migration, repository, validation
+from tideline.plans import migration, queries, repository, validation
 from tideline.sources import files
 from tideline.streaming import batches
 
@@ -93,6 +93,29 @@ def test_patch_modes(spark):
     assert r[0] is None and r[1] == '{"a":2}' and json.loads(r[2]) == [{"op": "append", "path": [], "values": [2]}]
 
 
+def test_chain_is_a_column_a_step(spark):
+    texts = [None, "", "{", "[]", '{"k":1}', '{"b":{"k":[1,2]},"k":"x","a":null}', '{"k":1.50,"a":12345678901234567890.5}', '{"k":NaN}', "7", '{"k":[{}]}', "[" * 3000 + "]" * 3000]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "i long, d string").repartition(3)
+    p, target = F.col("d"), json_values.set_value(F.col("d"), ["k"], [1, None])
+    ops = json_values.diff(p, target)
+    columns = {"target": target, "ops": ops, "back": json_values.patch(p, ops), "got": json_values.sort_keys(json_values.patch(p, ops)), "other": json_values.merge(target, F.lit('{"z":1}'))}
+    steps = {
+        "target": (lambda v: json_values.replaced(v, ["k"], [1, None]), "d"),
+        "ops": (json_values.difference, "d", "target"),
+        "back": (json_values.patched, "d", "ops"),
+        "got": (json_values.sorted_keys, "back"),
+        "other": (json_values.merged, "target", "z"),
+    }
+    r = d.select("i", F.struct(*(c.alias(k) for k, c in columns.items())).alias("want"), json_values.chain({"d": p, "z": F.lit('{"z":1}')}, steps).alias("got")).collect()
+    assert len(r) == len(texts) * 40 and all(x["got"] == x["want"] for x in r)
+    assert {x["i"] for x in r if x["got"]["back"] is None} == {i for i in range(len(texts) * 40) if i % 11 in (0, 1, 2, 7, 10)}
+
+
+def test_json_diff_patch_takes_one_worker_a_task(spark):
+    plan = queries.QUERIES["json_diff_patch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_rollout(spark):
     rows = spark.range(3000).select(F.concat(F.lit("user"), "id").alias("k")).select(rollout.bucket("k").alias("b"), rollout.rollout(F.col("k"), 30).alias("in"))
     r = rows.agg(F.min("b"), F.max("b"), F.avg(F.col("in").cast("int"))).first()

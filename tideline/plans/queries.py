@@ -469,10 +469,16 @@ def rollout_choices(spark, sf):
 
 @query("""SELECT event_id, true AS restored, true AS unchanged, CAST(json_extract_string(props, '$.k') AS BIGINT) <> 7 AS changes FROM events""")
 def json_diff_patch(spark, sf):
-    target = json_values.set_value(F.col("props"), ["k"], 7)
-    e = read(spark, sf, "events").select("event_id", "props", target.alias("target")).withColumn("ops", json_values.diff(F.col("props"), F.col("target")))
-    back = json_values.patch(F.col("props"), F.col("ops"))
-    return e.select("event_id", (json_values.sort_keys(back) == json_values.sort_keys(F.col("target"))).alias("restored"), (json_values.diff(F.col("props"), F.col("props")) == "[]").alias("unchanged"), (F.col("ops") != "[]").alias("changes"))
+    steps = {
+        "target": (lambda v: json_values.replaced(v, ["k"], 7), "props"),
+        "ops": (json_values.difference, "props", "target"),
+        "back": (json_values.patched, "props", "ops"),
+        "none": (json_values.difference, "props", "props"),
+        "got": (json_values.sorted_keys, "back"),
+        "want": (json_values.sorted_keys, "target"),
+    }
+    e = read(spark, sf, "events").select("event_id", json_values.chain({"props": F.col("props")}, steps).alias("json"))
+    return e.select("event_id", (F.col("json.got") == F.col("json.want")).alias("restored"), (F.col("json.none") == "[]").alias("unchanged"), (F.col("json.ops") != "[]").alias("changes"))
 
 
 @query("""SELECT o_orderkey, true AS date_ok, false AS time_ok, NOT (o_orderkey % 300 > 255) AS ipv4_ok, o_orderkey % 3 <> 0 AS host_ok FROM orders""")
