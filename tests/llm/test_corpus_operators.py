@@ -266,6 +266,35 @@ def test_leaks_read_each_text_once(spark):
     assert read.value == 100
 
 
+def test_clean_shuffles_no_clean_texts(spark, monkeypatch):
+    """As on large tables, where no join is by broadcast unless it says so; with a tiny bitmap most texts take the exact way."""
+    rng = random.Random(82)
+    item = " ".join(words(rng, 40))
+    texts = [" ".join(words(rng, 1500)) + (" " + item if i % 50 == 0 else "") for i in range(300)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        clean = decontam.clean(docs, bench).collect()
+        sent = shuffled() - before
+        monkeypatch.setattr(decontam, "HELD_BITS", 2)
+        exact = decontam.clean(docs, bench).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = [(i, t) for i, t in enumerate(texts) if i % 50 or i == 300]
+    for got in (clean, exact):
+        assert sorted(map(tuple, got), key=lambda r: r[0]) == want
+    assert sent < sum(len(t or "") for t in texts) / 5
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.ORG", "https://x.Example.org/es/1?q#f", "http://example.org/en/12", "http://badexample.org/es/1", "http://com/de/x", "http://a.com/fr/", "http://xcom/de/", "http://net/#/a"]
     labelled = [(f"http://h.net/spam/{i}", True) for i in range(20)] + [(f"http://h.net/good/{i}", False) for i in range(20)]
