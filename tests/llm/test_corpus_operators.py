@@ -154,6 +154,46 @@ def test_near_duplicates_in_families_of_three_edits(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_in_a_chain_take_few_tables(spark, monkeypatch):
+    """Each text is alike to the next only; what is written must not grow with the rounds of a slow search for components."""
+    rng = random.Random(23)
+    w = words(rng, 300 + 20 * 79)
+    texts = [" ".join(w[20 * i : 20 * i + 300]) for i in range(80)]
+    assert classes_by_all_pairs(texts) == ([0] * 80, 79)
+    written, stage = [], near_dup.stage
+    monkeypatch.setattr(near_dup, "stage", lambda df, name: written.append(name) or stage(df, name))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(odd_docs(spark, texts)).collect()}
+    assert set(got) == set(range(80)) and set(got.values()) == {0}
+    assert len(written) <= 45, Counter(written)
+
+
+def test_components_of_odd_graphs(spark):
+    """Chains, a hub in the middle, a cycle, loops and repeated edges, against a search over neighbours."""
+    rng = random.Random(24)
+    name = rng.sample(range(1 << 20), 400)
+    places = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(70, 131)] + [(i, 140 + (i - 139) % 9) for i in range(140, 149)] + [(150, 151), (151, 150), (150, 151), (160, 160)]
+    places += [(200 + rng.randrange(150), 200 + rng.randrange(150)) for _ in range(90)]
+    pairs = [(name[a], name[b]) for a, b in places]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(near):
+        ask = [n] if n not in want else []
+        while ask:
+            x = ask.pop()
+            if want.setdefault(x, n) == n:
+                ask += [y for y in near[x] if y not in want]
+    code = lambda n: n.to_bytes(16, "big")
+    edges = spark.createDataFrame([(code(a), code(b)) for a, b in pairs], "a binary, b binary")
+    rows = near_dup.components(edges).collect()
+    got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["component"], "big") for r in rows}
+    assert len(got) == len(rows)
+    assert {n: c for n, c in got.items() if n != c} == {n: c for n, c in want.items() if n != c}
+    assert near_dup.components(empty(edges)).count() == 0
+
+
 def test_near_duplicates_of_every_twentieth_document(spark):
     """The documents whose id is divisible by 20 against all rows, by exact shingles: recall of links."""
     rows = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()

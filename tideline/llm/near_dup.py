@@ -12,7 +12,7 @@ increasing run of matched places, within the band of diagonals that a similarity
 can reach. Similarity is aligned k-mers over all k-mers of both texts.
 
 Verification runs in three rounds. Two link a bucket's members to its first and last
-member: every text against the one of these mates with which it shares most values, then
+member: every text against the one of its lesser mates with which it shares most values, then
 all such pairs that join two different components. Texts are sent to the groups of their
 hubs, hubs of many are dealt into parts of PART candidates, and tasks stream over them.
 The third searches all pairs of each bucket that still has members of different
@@ -20,7 +20,12 @@ components, as buckets of texts on one template do. Its members are grouped by l
 like texts differ by a quarter at most, and dealt into blocks. The largest component of a
 group needs no pairs within, so its blocks meet those of the other members only, and these
 each other; rows sent grow with the square of the members outside the largest component over
-BLOCK. Components come from alternating large-star and small-star steps.
+BLOCK.
+
+Links of the first round point to lesser nodes, one for each text, so that they are a forest
+and doubled pointers find its roots. Later rounds name components, not texts, in their links;
+those are joined by hooking every component to its least neighbour, doubling pointers and
+going on with the links that are left between roots.
 
 Defined cases: null text is empty; empty texts are equal, hence one class; texts of fewer
 than five words have one shorter k-mer, so only texts of the same words are like them;
@@ -38,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,33 +132,33 @@ def node(text: Column) -> Column:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (hub, part, role, node, text): a hub first, then its candidates."""
+    """Sorted rows (hub, part, role, x, y, text): a hub first, then its candidates, each with the link that it stands for."""
     here, hub = None, None
     for b in batches:
         a_out, b_out = [], []
-        for h, part, role, n, text in zip(*(c.to_pylist() for c in b.columns)):
+        for h, part, role, x, y, text in zip(*(c.to_pylist() for c in b.columns)):
             if (h, part) != here:
                 here, hub = (h, part), None
             if role == 0:
                 if hub is None:
                     hub = kmers(text)
             elif hub is not None and alike(kmers(text), hub):
-                a_out.append(n)
-                b_out.append(h)
+                a_out.append(x)
+                b_out.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
 
 
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of edges (a, b) whose texts are alike; b is the hub. nodes: node, home (a document that has it)."""
+def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (x, y), as (a, b), of those edges (a, b, x, y) whose texts are alike; a and b have node and home, b is the hub."""
     degree = stage(edges.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "degree")
-    to_hub = edges.join(degree, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("role"))
-    hubs = degree.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    routes = to_hub.unionByName(hubs).join(nodes, "node")
+    to_hub = edges.join(degree, "b").select("a.*", F.col("b.node").alias("hub"), F.pmod(F.xxhash64("a.node"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "x", "y")
+    none = F.lit(None).cast("binary")
+    hubs = degree.select("b.*", F.col("b.node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none.alias("x"), none.alias("y"))
     texts = docs.select(F.col("doc_id").alias("home"), node(F.col("text")).alias("node"), "text")
     # texts are only streamed against the routes, not sorted
-    routes = routes.withColumnsRenamed({"node": "_tl_node", "home": "_tl_home"})
+    routes = to_hub.unionByName(hubs).withColumnsRenamed({"node": "_tl_node", "home": "_tl_home"})
     same = (F.col("node") == F.col("_tl_node")) & F.col("home").eqNullSafe(F.col("_tl_home"))
-    sent = texts.join(routes.hint("shuffle_hash"), same).select("hub", "part", "role", "node", "text")
+    sent = texts.join(routes.hint("shuffle_hash"), same).select("hub", "part", "role", "x", "y", "text")
     dealt = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
     return stage(dealt.mapInArrow(_verify, "a binary, b binary").distinct(), "verified")
 
@@ -211,14 +216,14 @@ def linked(v: int, within: bool, blocks: list[int], upper: list[bool], parts: li
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (v, size class, two blocks, own block, upper, component, node, k-mers, sketch)."""
+    """Sorted rows (v, size class, two blocks, own block, upper, component, k-mers, sketch); links are between components."""
     here, rows = None, []
 
     def found(out: list[tuple[bytes, bytes]]) -> None:
         if len(rows) > 1:
-            block, upper, part, names, ks, sketches = zip(*rows)
+            block, upper, part, ks, sketches = zip(*rows)
             pairs = linked(here[0], here[2] == here[3], block, upper, part, [np.frombuffer(k, np.uint64) for k in ks], sketches)
-            out += [(names[a], names[b]) for a, b in pairs]
+            out += [(part[a], part[b]) for a, b in pairs]
 
     def batch(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
@@ -236,16 +241,15 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(out)
 
 
-def searched(members: DataFrame, own: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Alike pairs (a, b) of different components c among members (v, node, c) of the same v."""
+def searched(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of different components c with alike texts among members (v, node, c) of the same v."""
     mixed = members.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
     rows = stage(members.join(mixed, "v"), "open")
     wanted = rows.select("node").distinct().join(nodes, "node").withColumnsRenamed({"node": "_tl_node", "home": "_tl_home"})
     same = (F.col("node") == F.col("_tl_node")) & F.col("home").eqNullSafe(F.col("_tl_home"))
     texts = docs.select(F.col("doc_id").alias("home"), node(F.col("text")).alias("node"), "text")
-    sent = texts.join(wanted.hint("shuffle_hash"), same).select("node", kmers_udf("text").alias("k")).dropDuplicates(["node"])
-    known = own.select("node", "sketch").dropDuplicates(["node"])
-    known = stage(sent.join(known, "node").withColumn("size", F.expr("octet_length(k) div 8")), "kmers")
+    sent = texts.join(wanted.hint("shuffle_hash"), same).select("node", "sketch", kmers_udf("text").alias("k")).dropDuplicates(["node"])
+    known = stage(sent.withColumn("size", F.expr("octet_length(k) div 8")), "kmers")
     # like texts are in the same size class or in two neighbours
     cls = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.26))).cast("int")
     rows = rows.join(known.select("node", "size"), "node").withColumn("up", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cls", cls - F.col("up").cast("int"))
@@ -264,68 +268,71 @@ def searched(members: DataFrame, own: DataFrame, nodes: DataFrame, docs: DataFra
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("main_blocks") - 1))))
     dealt = dealt.select("v", "cls", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "up", "c", "node")
     key = ["v", "cls", "x", "y"]
-    dealt = dealt.join(known, "node").select(*key, "block", "up", "c", "node", "k", "sketch").repartition(*key).sortWithinPartitions(*key)
+    dealt = dealt.join(known, "node").select(*key, "block", "up", "c", "k", "sketch").repartition(*key).sortWithinPartitions(*key)
     return stage(dealt.mapInArrow(_search, "a binary, b binary").distinct(), "searched")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node of each connected component, for all nodes with an edge."""
+def roots(up: DataFrame) -> DataFrame:
+    """(node, component): the root above each node of a forest (node, component), where all point to a lesser node."""
+    while True:
+        further = up.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        moved = F.col("next").isNotNull()
+        up = stage(up.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"), moved.alias("moved")), "roots")
+        if up.filter("moved").isEmpty():
+            return up.drop("moved")
+        up = up.drop("moved")
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        # the minimum is a table of its own, so that hot nodes of the join can be split
-        least = stage(e.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
-        if large:
-            out = e.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = e.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return stage(out.filter(F.col("a") != F.col("b")).distinct(), "star")
 
-    mark = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0))).first())
-    before = None
-    edges = stage(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
-    now = mark(edges)
-    while now != before and now[0]:
-        edges = star(star(edges, True), False)
-        before, now = now, mark(edges)
-    whole = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return whole.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+def replaced(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """df with the component of each node of the column, where known (node, component) has one."""
+    side = known.select(F.col("node").alias(column), F.col("component").alias("_root"))
+    return df.join(side, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of each connected component, for all its other nodes."""
+    edges = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    known = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).filter(F.col("component") < F.col("node"))
+        found = roots(stage(least, "least"))
+        known = stage(replaced(known, "component", found).unionByName(found), "known")
+        edges = replaced(replaced(edges, "a", found), "b", found).filter(F.col("a") != F.col("b"))
+        edges = stage(edges.distinct(), "edges")
+    return known
 
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) for every row of docs, and (node, home, component) for every node."""
+    """(doc_id, node) for every row of docs, and (node, home, component) for every node; home is a document that has it."""
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     slim = stage(docs.select("doc_id", node(F.col("text")).alias("node"), sketch_udf(F.col("text")).alias("sketch")), "sketches")
-    nodes = stage(slim.groupBy("node").agg(F.min("doc_id").alias("home")), "nodes")
-    homes = nodes.withColumnRenamed("node", "_tl_node")
-    own = slim.join(homes, (F.col("node") == F.col("_tl_node")) & F.col("doc_id").eqNullSafe(F.col("home")), "left_semi")
-    values = stage(own.select("node", F.explode("sketch").alias("v")).distinct(), "values")
-    ends = stage(values.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter(F.col("lo") < F.col("hi")), "buckets")
-    met = values.join(ends.drop("n"), "v")
-    pairs = met.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter(F.col("a") != F.col("b"))
-    pairs = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("w")), "pairs")
-    best = pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    best = stage(best, "best")
-    first = verified(best, nodes, docs)
-    known = stage(components(first), "first")
+    # equal texts have equal sketches
+    nodes = stage(slim.groupBy("node").agg(F.min("doc_id").alias("home"), F.any_value("sketch").alias("sketch")), "nodes")
+    values = nodes.select(F.struct("node", "home").alias("a"), F.explode(F.array_distinct("sketch")).alias("v"))
+    ends = stage(values.groupBy("v").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n")).filter(F.col("lo.node") < F.col("hi.node")), "buckets")
+    # the first member meets the last as its mate only
+    hubs = F.when(F.col("a.node") > F.col("lo.node"), F.when(F.col("a.node") < F.col("hi.node"), F.array("lo", "hi")).otherwise(F.array("lo")))
+    met = values.join(ends.drop("n"), "v").select("a", F.explode(hubs).alias("b"))
+    # a text has two mates for each value at most
+    shared = met.repartition("a").groupBy("a", "b").agg(F.count("*").alias("w"))
+    lesser = F.col("b.node") < F.col("a.node")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(lesser.desc(), F.desc("w"), "b"))
+    pairs = stage(shared.select("a", "b", ((rank == 1) & lesser).alias("best"), F.col("a.node").alias("x"), F.col("b.node").alias("y")), "pairs")
+    first = verified(pairs.filter("best"), docs)
+    known = roots(first.withColumnsRenamed({"a": "node", "b": "component"}))
     # all other candidates between different components
-    side = lambda n: known.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = stage(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    second = verified(rest, nodes, docs)
-    final = stage(components(first.unionByName(second)), "second")
+    rest = replaced(replaced(pairs.filter("not best"), "x", known), "y", known)
+    rest = stage(rest.filter(F.col("x") != F.col("y")), "rest")
+    second = components(verified(rest, docs))
+    known = stage(replaced(known, "component", second).unionByName(second), "second")
     # up to three members have all met by now
-    many = values.join(ends.filter("n > 3").select("v"), "v").join(final, "node", "left")
-    many = stage(many.select("v", "node", F.coalesce("component", "node").alias("c")), "members")
-    third = searched(many, own, nodes, docs)
-    if not third.isEmpty():
-        final = stage(components(third.unionByName(final.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-    label = nodes.join(final, "node", "left").select("node", "home", F.coalesce("component", "node").alias("component"))
-    return slim.select("doc_id", "node"), stage(label, "labels")
+    many = values.join(ends.filter("n > 3").select("v"), "v").select("v", "a.node", F.col("a.node").alias("c"))
+    many = stage(replaced(many, "c", known), "members")
+    third = components(searched(many, nodes, docs))
+    label = nodes.select("node", "home", F.col("node").alias("component"))
+    return slim.select("doc_id", "node"), stage(replaced(replaced(label, "component", known), "component", third), "labels")
 
 
 def classes(docs: DataFrame) -> DataFrame:
