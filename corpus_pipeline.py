@@ -35,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
     path = public_tokenizers.path(VOCABULARY)
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.round_trip(docs, path)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -25,6 +25,7 @@ encoded; further columns are carried along.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,13 +34,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import table, tune
 
 #: Fixed value: the public pattern that splits text before merging; white space as Unicode defines it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of each of two word caches, of the table of arcs and of the transition table before they are emptied.
-CACHED_WORDS, CACHED_ARCS, CACHED_STEPS = 100_000, 300_000, 500_000
+#: Entries of each of two word caches and of the transition table before they are emptied, and slots for arcs (a prime).
+CACHED_WORDS, CACHED_STEPS, ARC_SLOTS = 60_000, 340_000, 262_139
 
 
 def byte_letters() -> list[str]:
@@ -96,10 +98,14 @@ class Automaton:
                     node = self.next[key] = len(self.token_at)
                     self.token_at.append(-1)
             self.token_at[node] = i
-        self.inner = {key >> 8 for key in self.next}
+        #: Whether a node has further ones.
+        self.inner = bytearray(len(self.token_at))
+        for key in self.next:
+            self.inner[key >> 8] = 1
         self.length = list(map(len, self.labels))
         self.reset()
-        self.arcs: dict[int, bool] = {}
+        #: At (pair of tokens) % ARC_SLOTS, the last such pair and whether it is an arc: pair * 2 + answer.
+        self.arcs = array("q", [-1]) * ARC_SLOTS
         #: Words in use, and those of the time before, so that common ones stay.
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -129,8 +135,8 @@ class Automaton:
 
     def reset(self) -> None:
         """The byte automaton with its first state only: at the start of a label, after no token."""
-        #: Of each state, (place in a label) * size + (token before it, or the last number for none).
-        self.subsets: list[tuple[int, ...]] = [(self.size - 1,)]
+        #: Of each state, (place in a label) * size + (token before it, or the last number for none), as packed 64-bit numbers.
+        self.subsets: list[bytes] = [array("q", [self.size - 1]).tobytes()]
         self.numbers = {self.subsets[0]: 0}
         #: The last token of each state, and the table of transitions from (state, byte).
         self.last = [-1]
@@ -140,24 +146,27 @@ class Automaton:
         """Compiles one transition."""
         size, none = self.size, self.size - 1
         token, further = -1, []
-        for pair in self.subsets[state]:
+        for pair in memoryview(self.subsets[state]).cast("q"):
             node, before = divmod(pair, size)
             node = self.next.get(node << 8 | byte)
             if node is None:
                 continue
-            if node in self.inner:
+            if self.inner[node]:
                 further.append(node * size + before)
             t = self.token_at[node]
             if t >= 0:
                 ok = True
                 if before != none:
                     key = before * size + t
-                    ok = self.arcs.get(key)
-                    if ok is None:
-                        ok = self.arcs[key] = self.arc(before, t)
+                    known = self.arcs[key % ARC_SLOTS]
+                    if known >> 1 == key:
+                        ok = known & 1
+                    else:
+                        ok = self.arc(before, t)
+                        self.arcs[key % ARC_SLOTS] = key * 2 + ok
                 if ok:
                     token = t
-        subset = (token, *further)
+        subset = array("q", (token, *further)).tobytes()
         to = self.numbers.setdefault(subset, len(self.subsets))
         if to == len(self.subsets):
             self.subsets.append(subset)
@@ -183,8 +192,6 @@ class Automaton:
         words = self.split.findall(text)
         if len(self.words) > CACHED_WORDS:
             self.older, self.words = self.words, {}
-        if len(self.arcs) > CACHED_ARCS:
-            self.arcs.clear()
         if len(self.table) > CACHED_STEPS:
             self.reset()
         known, older = self.words, self.older
@@ -249,9 +256,30 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     return docs.withColumn(into, run(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds the token ids of a text column and the text that they decode to.
+
+    The columns are those of encode and decode, but one Python worker of a task makes both,
+    so that there are not twice as many workers with tables of their own.
+    """
+    tune(docs.sparkSession)
+    raw = vocabulary(docs.sparkSession, path)
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        a = compiled(raw.value)
+        for texts in batches:
+            rows = [a.encode(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(map(a.decode, rows), pa.string())], ["ids", "decoded"])
+
+    both = docs.withColumn("_tl_both", run(F.col(text)))
+    return both.withColumn(ids, F.col("_tl_both.ids")).withColumn(decoded, F.col("_tl_both.decoded")).drop("_tl_both")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs.select("doc_id", "text"), path), path)
+    both = round_trip(docs.select("doc_id", "text"), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

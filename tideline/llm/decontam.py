@@ -221,6 +221,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str, item_key: str) ->
         for texts in batches:
             yield pa.array([[{"cls": c, "v": v} for c, v in known.value.values(t.as_py())] for t in texts], kind)
 
+    # else the filter below would be a second call, in a Python worker of its own
+    values = values.asNondeterministic()
     text = F.col("text")
     # texts that may hold an item are kept with their values, so that the others are never shuffled
     met = docs.select(F.col(key).alias("key"), name_of(text).alias("name"), values(text).alias("values"), text.alias("text"))
@@ -228,9 +230,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str, item_key: str) ->
     own = met.groupBy("name").agg(F.min("key").alias("home"), F.first("values").alias("values"))
     asked = own.select("name", F.explode("values").alias("x")).select("name", "x.*", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("salt"))
     salted = rows.select("no", "cls", "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = stage(asked.join(salted, ["cls", "v", "salt"]).select("name", "no").distinct(), "candidates")
+    pairs = stage(asked.join(salted, ["cls", "v", "salt"]).select("name", "no").distinct(), "candidates", small=True)
     # a text goes to its candidates in parts, so that none is held against all items at once
-    parts = stage(pairs.groupBy("name").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
+    parts = stage(pairs.groupBy("name").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts", small=True)
     wanted = parts.join(met.groupBy("name").agg(F.min("key").alias("home")), "name").withColumnRenamed("name", "_tl_name")
     texts = met.select("key", "name", "text").join(wanted, (F.col("name") == F.col("_tl_name")) & F.col("key").eqNullSafe(F.col("home")))
     none = lambda kind: F.lit(None).cast(kind)
