@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.fixtures import TEXTS, odd_docs
 from tideline.llm import bpe, decontam, near_dup, quality, secrets
-from tideline.llm.common import stage, table
+from tideline.llm.common import FILE_ROWS, fewer, stage, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,9 +52,9 @@ def test_one_python_worker_a_task(spark, monkeypatch):
     assert nodes_of(corpus_pipeline.tokens(spark, docs, SF), "ArrowEvalPython") == 1
     plans = {}
 
-    def watched(df, name, **how):
+    def watched(df, name):
         plans[name] = nodes_of(df, "ArrowEvalPython")
-        return stage(df, name, **how)
+        return stage(df, name)
 
     monkeypatch.setattr(decontam, "stage", watched)
     decontam.clean(docs, table(spark, SF, "benchmark"))
@@ -92,6 +92,9 @@ def test_small_tables_have_few_files(spark):
         label = near_dup.labelled(docs)[1]
         assert len(label.inputFiles()) <= 8  # two for each of four cores; before: 29
         assert label.count() == 40
+        # in step with the rows: no file for more than FILE_ROWS of them
+        many = stage(fewer(spark.range(400).repartition(64, "id"), 20 * FILE_ROWS), "many")
+        assert len(many.inputFiles()) == 20 and many.count() == 400
         got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()}
         assert all(got[i] == got[i % 40] for i in range(200))
     finally:

@@ -17,8 +17,8 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 SHINGLE = 5
 #: A key with more than 1/HOT of all rows is joined by broadcast in dealt_join.
 HOT = 1000
-#: Small tables have a file for so many shuffle partitions, but two for each core at least.
-SMALL = 16
+#: Partitions that fewer() leaves: one for so many rows, but so many for each core at least.
+FILE_ROWS, FILES_A_CORE = 4000, 2
 #: Bytes of a word that are hashed from the table.
 SHORT = 64
 _RANDOM = np.random.default_rng(1).integers(0, 1 << 64, SHORT << 8, np.uint64)
@@ -50,17 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+def fewer(df: DataFrame, rows: int | None) -> DataFrame:
+    """df in no more partitions than one for each FILE_ROWS of so many rows, if known, however many a shuffle has.
+
+    For tables without texts: each file costs Hadoop some calls (on a local disk, forks of the
+    whole JVM for chmod). The number grows with the rows.
+    """
+    if rows is None:
+        return df
+    return df.coalesce(max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a scratch table in the shared folder and read it again.
 
-    This cuts the lineage: what comes after an executor loss starts from the table. The rows
-    of a small table hold no texts; it goes to fewer files than there are shuffle partitions,
-    which are counted for texts, as each file costs Hadoop some calls (on a local disk, forks
-    of the whole JVM for chmod).
+    This cuts the lineage: what comes after an executor loss starts from the table.
     """
     spark = df.sparkSession
-    if small:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SMALL))
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix, shingles, stage, table, tune
+from tideline.llm.common import fewer, mix, shingles, stage, table, tune
 
 FUNCTIONS = 64
 #: Containment in hundredths.
@@ -227,12 +227,13 @@ def contained(docs: DataFrame, benchmark: DataFrame, key: str, item_key: str) ->
     # texts that may hold an item are kept with their values, so that the others are never shuffled
     met = docs.select(F.col(key).alias("key"), name_of(text).alias("name"), values(text).alias("values"), text.alias("text"))
     met = stage(met.filter(F.size("values") > 0), "values")
+    n_texts = met.count()
     own = met.groupBy("name").agg(F.min("key").alias("home"), F.first("values").alias("values"))
     asked = own.select("name", F.explode("values").alias("x")).select("name", "x.*", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("salt"))
     salted = rows.select("no", "cls", "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = stage(asked.join(salted, ["cls", "v", "salt"]).select("name", "no").distinct(), "candidates", small=True)
+    pairs = stage(fewer(asked.join(salted, ["cls", "v", "salt"]).select("name", "no").distinct(), n_texts), "candidates")
     # a text goes to its candidates in parts, so that none is held against all items at once
-    parts = stage(pairs.groupBy("name").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts", small=True)
+    parts = stage(fewer(pairs.groupBy("name").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), n_texts), "parts")
     wanted = parts.join(met.groupBy("name").agg(F.min("key").alias("home")), "name").withColumnRenamed("name", "_tl_name")
     texts = met.select("key", "name", "text").join(wanted, (F.col("name") == F.col("_tl_name")) & F.col("key").eqNullSafe(F.col("home")))
     none = lambda kind: F.lit(None).cast(kind)

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import mix, occurrence_labels, shingles, stage, table, tune
+from tideline.llm.common import fewer, mix, occurrence_labels, shingles, stage, table, tune
 
 FUNCTIONS, LENGTH = 16, 3
 #: Similarity in hundredths.
@@ -148,9 +148,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
 
 
-def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(edges: DataFrame, docs: DataFrame, n_texts: int | None = None) -> DataFrame:
     """The links (x, y), as (a, b), of those edges (a, b, x, y) whose texts are alike; a and b have node and home, b is the hub."""
-    degree = stage(edges.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "degree", small=True)
+    degree = stage(fewer(edges.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), n_texts), "degree")
     to_hub = edges.join(degree, "b").select("a.*", F.col("b.node").alias("hub"), F.pmod(F.xxhash64("a.node"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "x", "y")
     none = F.lit(None).cast("binary")
     hubs = degree.select("b.*", F.col("b.node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none.alias("x"), none.alias("y"))
@@ -160,7 +160,7 @@ def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
     same = (F.col("node") == F.col("_tl_node")) & F.col("home").eqNullSafe(F.col("_tl_home"))
     sent = texts.join(routes.hint("shuffle_hash"), same).select("hub", "part", "role", "x", "y", "text")
     dealt = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
-    return stage(dealt.mapInArrow(_verify, "a binary, b binary").distinct(), "verified", small=True)
+    return stage(fewer(dealt.mapInArrow(_verify, "a binary, b binary").distinct(), n_texts), "verified")
 
 
 def common_counts(ks: list[np.ndarray]) -> np.ndarray:
@@ -241,10 +241,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(out)
 
 
-def searched(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def searched(members: DataFrame, nodes: DataFrame, docs: DataFrame, n_texts: int | None = None) -> DataFrame:
     """Links (a, b) of different components c with alike texts among members (v, node, c) of the same v."""
     mixed = members.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
-    rows = stage(members.join(mixed, "v"), "open", small=True)
+    rows = stage(fewer(members.join(mixed, "v"), n_texts), "open")
     wanted = rows.select("node").distinct().join(nodes, "node").withColumnsRenamed({"node": "_tl_node", "home": "_tl_home"})
     same = (F.col("node") == F.col("_tl_node")) & F.col("home").eqNullSafe(F.col("_tl_home"))
     texts = docs.select(F.col("doc_id").alias("home"), node(F.col("text")).alias("node"), "text")
@@ -255,7 +255,7 @@ def searched(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     rows = rows.join(known.select("node", "size"), "node").withColumn("up", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cls", cls - F.col("up").cast("int"))
     # the largest component of a group needs no pairs within: the others' blocks meet all blocks, its own only theirs
     parts = rows.groupBy("v", "cls", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("up").alias("up"))
-    parts = stage(parts, "groups", small=True)
+    parts = stage(fewer(parts, n_texts), "groups")
     whole = parts.groupBy("v", "cls").agg(F.max(F.struct("n", "size", "c")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("up").alias("none"), F.count("*").alias("k"))
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_KMERS)).cast("int")
     groups = whole.filter("not none and k > 1").select(
@@ -269,15 +269,15 @@ def searched(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     dealt = dealt.select("v", "cls", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "up", "c", "node")
     key = ["v", "cls", "x", "y"]
     dealt = dealt.join(known, "node").select(*key, "block", "up", "c", "k", "sketch").repartition(*key).sortWithinPartitions(*key)
-    return stage(dealt.mapInArrow(_search, "a binary, b binary").distinct(), "searched", small=True)
+    return stage(fewer(dealt.mapInArrow(_search, "a binary, b binary").distinct(), n_texts), "searched")
 
 
-def roots(up: DataFrame) -> DataFrame:
+def roots(up: DataFrame, n_texts: int | None = None) -> DataFrame:
     """(node, component): the root above each node of a forest (node, component), where all point to a lesser node."""
     while True:
         further = up.select(F.col("node").alias("component"), F.col("component").alias("next"))
         moved = F.col("next").isNotNull()
-        up = stage(up.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"), moved.alias("moved")), "roots", small=True)
+        up = stage(fewer(up.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"), moved.alias("moved")), n_texts), "roots")
         if up.filter("moved").isEmpty():
             return up.drop("moved")
         up = up.drop("moved")
@@ -289,17 +289,17 @@ def replaced(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
     return df.join(side, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, n_texts: int | None = None) -> DataFrame:
     """(node, component): the least node of each connected component, for all its other nodes."""
     edges = edges.select("a", "b").filter(F.col("a") != F.col("b"))
     known = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).filter(F.col("component") < F.col("node"))
-        found = roots(stage(least, "least", small=True))
-        known = stage(replaced(known, "component", found).unionByName(found), "known", small=True)
+        found = roots(stage(fewer(least, n_texts), "least"), n_texts)
+        known = stage(fewer(replaced(known, "component", found).unionByName(found), n_texts), "known")
         edges = replaced(replaced(edges, "a", found), "b", found).filter(F.col("a") != F.col("b"))
-        edges = stage(edges.distinct(), "edges", small=True)
+        edges = stage(fewer(edges.distinct(), n_texts), "edges")
     return known
 
 
@@ -308,10 +308,12 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     slim = stage(docs.select("doc_id", node(F.col("text")).alias("node"), sketch_udf(F.col("text")).alias("sketch")), "sketches")
+    # all tables but those with texts or k-mers have some rows a text
+    n_texts = slim.count()
     # equal texts have equal sketches
-    nodes = stage(slim.groupBy("node").agg(F.min("doc_id").alias("home"), F.any_value("sketch").alias("sketch")), "nodes", small=True)
+    nodes = stage(fewer(slim.groupBy("node").agg(F.min("doc_id").alias("home"), F.any_value("sketch").alias("sketch")), n_texts), "nodes")
     values = nodes.select(F.struct("node", "home").alias("a"), F.explode(F.array_distinct("sketch")).alias("v"))
-    ends = stage(values.groupBy("v").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n")).filter(F.col("lo.node") < F.col("hi.node")), "buckets", small=True)
+    ends = stage(fewer(values.groupBy("v").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n")).filter(F.col("lo.node") < F.col("hi.node")), n_texts), "buckets")
     # the first member meets the last as its mate only
     hubs = F.when(F.col("a.node") > F.col("lo.node"), F.when(F.col("a.node") < F.col("hi.node"), F.array("lo", "hi")).otherwise(F.array("lo")))
     met = values.join(ends.drop("n"), "v").select("a", F.explode(hubs).alias("b"))
@@ -319,27 +321,28 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = met.repartition("a").groupBy("a", "b").agg(F.count("*").alias("w"))
     lesser = F.col("b.node") < F.col("a.node")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(lesser.desc(), F.desc("w"), "b"))
-    pairs = stage(shared.select("a", "b", ((rank == 1) & lesser).alias("best"), F.col("a.node").alias("x"), F.col("b.node").alias("y")), "pairs", small=True)
-    first = verified(pairs.filter("best"), docs)
-    known = roots(first.withColumnsRenamed({"a": "node", "b": "component"}))
+    pairs = stage(fewer(shared.select("a", "b", ((rank == 1) & lesser).alias("best"), F.col("a.node").alias("x"), F.col("b.node").alias("y")), n_texts), "pairs")
+    first = verified(pairs.filter("best"), docs, n_texts)
+    known = roots(first.withColumnsRenamed({"a": "node", "b": "component"}), n_texts)
     # all other candidates between different components
     rest = replaced(replaced(pairs.filter("not best"), "x", known), "y", known)
-    rest = stage(rest.filter(F.col("x") != F.col("y")), "rest", small=True)
-    second = components(verified(rest, docs))
-    known = stage(replaced(known, "component", second).unionByName(second), "second", small=True)
+    rest = stage(fewer(rest.filter(F.col("x") != F.col("y")), n_texts), "rest")
+    second = components(verified(rest, docs, n_texts), n_texts)
+    known = stage(fewer(replaced(known, "component", second).unionByName(second), n_texts), "second")
     # up to three members have all met by now
     many = values.join(ends.filter("n > 3").select("v"), "v").select("v", "a.node", F.col("a.node").alias("c"))
-    many = stage(replaced(many, "c", known), "members", small=True)
-    third = components(searched(many, nodes, docs))
+    many = stage(fewer(replaced(many, "c", known), n_texts), "members")
+    third = components(searched(many, nodes, docs, n_texts), n_texts)
     label = nodes.select("node", "home", F.col("node").alias("component"))
-    return slim.select("doc_id", "node"), stage(replaced(replaced(label, "component", known), "component", third), "labels", small=True)
+    return slim.select("doc_id", "node"), stage(fewer(replaced(replaced(label, "component", known), "component", third), n_texts), "labels")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every row of docs: the least doc_id of its class."""
     rows, label = labelled(docs)
-    least = stage(label.groupBy("component").agg(F.min("home").alias("class_id")), "classes", small=True)
-    label = stage(label.join(least, "component").select("node", "class_id"), "class_labels", small=True)
+    n_texts = label.count()
+    least = stage(fewer(label.groupBy("component").agg(F.min("home").alias("class_id")), n_texts), "classes")
+    label = stage(fewer(label.join(least, "component").select("node", "class_id"), n_texts), "class_labels")
     return rows.join(label, "node").select("doc_id", "class_id")
 
 
@@ -356,13 +359,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text the first by hash of the row.
     """
     label = labelled(docs)[1]
+    n_texts = label.count()
     # nulls are the greatest in the first field
     order = F.struct(F.col("home").isNull().alias("none"), "home", "node")
     first = label.groupBy("component").agg(F.min(order).alias("x")).select("x.home", F.col("x.node").alias("_tl_node"))
-    first = stage(first, "first_nodes", small=True)
+    first = stage(fewer(first, n_texts), "first_nodes")
     rows = docs.withColumn("_tl_node", node(F.col("text"))).withColumn("_tl_row", row_hash(docs))
     own = rows.select("doc_id", "_tl_node", "_tl_row").join(first.withColumnRenamed("_tl_node", "_tl_first"), (F.col("_tl_node") == F.col("_tl_first")) & F.col("doc_id").eqNullSafe(F.col("home")))
-    chosen = stage(own.groupBy("_tl_node").agg(F.min("_tl_row").alias("_tl_row")), "chosen", small=True)
+    chosen = stage(fewer(own.groupBy("_tl_node").agg(F.min("_tl_row").alias("_tl_row")), n_texts), "chosen")
     kept = rows.join(chosen, ["_tl_node", "_tl_row"], "left_semi")
     return kept.dropDuplicates(["_tl_node", "_tl_row"]).select(*(f"`{c}`" for c in docs.columns))
 
